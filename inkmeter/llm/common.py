@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Spark removes the shuffle files of finished steps when the driver's garbage
+    is collected; a long job asks for that here, so that disk use follows the
+    largest step and not the sum of all.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -75,34 +85,43 @@ def count_sketch(df: DataFrame, hashes, bits: int) -> np.ndarray:
     chunk = min(CHUNK, size)
 
     def count(batches):
-        cells = np.zeros(size, np.int64)
+        cells, held, n = np.zeros(size, np.int64), [], 0
         for batch in batches:
             for h in hashes(batch):
-                cells += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        cells = np.minimum(cells, 0xFFFFFFFF).astype(np.uint32)
+                held.append((h & np.uint64(size - 1)).astype(np.int64))
+                n += len(h)
+                if n >= size:
+                    cells += np.bincount(np.concatenate(held), minlength=size)
+                    held, n = [], 0
+        if held:
+            cells += np.bincount(np.concatenate(held), minlength=size)
         for k in range(size // chunk):
             part = cells[k * chunk : (k + 1) * chunk]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "cells": pa.array([part.tobytes()], pa.binary())})
+                yield _chunk(k, part)
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column("k").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-                got = np.frombuffer(part, np.uint32).astype(np.int64)
+                got = np.frombuffer(zlib.decompress(part), np.uint32).astype(np.int64)
                 sums[k] = sums[k] + got if k in sums else got
         for k, got in sums.items():
-            out = np.minimum(got, 0xFFFFFFFF).astype(np.uint32).tobytes()
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "cells": pa.array([out], pa.binary())})
+            yield _chunk(k, got)
 
     kind = "k int, cells binary"
     rows = df.mapInArrow(count, kind).repartition(16, "k").mapInArrow(total, kind).collect()
     cells = np.zeros(size, np.uint32)
     for k, part in rows:
-        cells[k * chunk : (k + 1) * chunk] = np.frombuffer(part, np.uint32)
+        cells[k * chunk : (k + 1) * chunk] = np.frombuffer(zlib.decompress(part), np.uint32)
     return cells
 
 
+def _chunk(k: int, counts: np.ndarray) -> pa.RecordBatch:
+    packed = zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
+    return pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "cells": pa.array([packed], pa.binary())})
+
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 _R, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _POWERS: dict[str, np.ndarray] = {}

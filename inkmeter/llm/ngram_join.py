@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, count_sketch, cut, shingle_sets
 
 FRAGMENTS = 4
-SKETCH_BITS = 21
+SKETCH_BITS = 22
+FILTER_BITS = 20
 
 
 def _key(found: np.ndarray) -> tuple[int, int]:
@@ -54,7 +55,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, cells) -> DataFrame:
 
     def run(batches):
         counts = cells.value
-        usual = 2 * counts.mean() + 16
+        usual = counts.mean() + 5 * counts.mean() ** 0.5 + 8
         mask, seen = np.uint64(len(counts) - 1), set()
         for batch in batches:
             cols = [[], [], [], [], []]
@@ -83,9 +84,7 @@ def _fragments(docs: DataFrame, k: int, cells) -> DataFrame:
         bits = cells.value
         mask = np.uint64(len(bits) - 1)
         for batch in batches:
-            ids = np.array(batch.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.float64 if batch.column("doc_id").null_count else np.int64)
-            if batch.column("doc_id").null_count:
-                ids = np.array([0 if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+            ids = np.array([0 if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
             want = np.flatnonzero(bits[(id_hash(ids) & mask).astype(np.int64)])
             out, frag, segs = [], [], []
             texts = batch.column("text").take(pa.array(want)).to_pylist()
@@ -115,12 +114,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     """Of ``pairs`` (x, y, nx, ny), those that reach the threshold."""
     spark = docs.sparkSession
     ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    cells = count_sketch(ids, lambda b: [id_hash(b.column("id").to_numpy())], SKETCH_BITS)
-    segs = _fragments(docs, k, spark.sparkContext.broadcast(cells > 0)).dropDuplicates(["id", "f"])
-    segs = segs.join(ids, "id", "left_semi")
+    cells = count_sketch(ids, lambda b: [id_hash(b.column("id").to_numpy())], FILTER_BITS)
+    segs = _fragments(docs, k, spark.sparkContext.broadcast(cells > 0))
     left = segs.select(F.col("id").alias("x"), "f", F.col("seg").alias("sx"))
     right = segs.select(F.col("id").alias("y"), "f", F.col("seg").alias("sy"))
-    parts = pairs.join(left, "x").join(right, ["y", "f"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).cast("long").alias("part"))
+    parts = pairs.withColumn("f", F.explode(F.array(*map(F.lit, range(FRAGMENTS))))).join(left, ["x", "f"]).join(right, ["y", "f"])
+    parts = parts.select("x", "y", "nx", "ny", "f", F.size(F.array_intersect("sx", "sy")).cast("long").alias("part"))
+    parts = parts.groupBy("x", "y", "nx", "ny", "f").agg(F.max("part").alias("part"))  # a repeated row counts once
     total = parts.groupBy("x", "y", "nx", "ny").agg(F.sum("part").alias("both"))
     return total.where(f"100 * both >= {percent} * (nx + ny - both)").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
@@ -145,28 +145,33 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     cells = spark.sparkContext.broadcast(count_sketch(docs, lambda b: _joined(grams(b)), SKETCH_BITS))
     named = docs.where("doc_id is not null")
     first = _prefixes(named, k, percent, cells)
-    key = F.struct("k1", "k2")
-    shared = first.groupBy("s").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("s")
+    spread = [f(c).alias(f.__name__ + c) for c in ("k1", "k2") for f in (F.min, F.max)]
+    shared = first.groupBy("s").agg(*spread).where("mink1 <> maxk1 or mink2 <> maxk2").select("s")
     posts = first.join(shared, "s").dropDuplicates(["s", "k1", "k2"])
     posts = cut(posts.join(nodes, ["k1", "k2"]).select("s", "id", "n", "pos"))
 
-    lead = posts.groupBy("s").agg(F.min(F.struct("id", "n")).alias("lead")).select("s", F.col("lead.id").alias("y"), F.col("lead.n").alias("ny"))
+    del first, shared
+    lead = posts.groupBy("s").agg(F.min("id").alias("y"), F.min_by("n", "id").alias("ny"))
     fits = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
-    pairs = posts.select("s", F.col("id").alias("x"), F.col("n").alias("nx")).join(lead, "s").where(f"x <> y and {fits}")
-    links = cut(_verified(docs, cut(pairs.select("x", "y", "nx", "ny").distinct()), k, percent))
+    # What two sets share up to their last common prefix n-gram is known; the rest bounds the overlap.
+    bound = f"(100 + {percent}) * (count(1) + least(nx - max(px), ny - max(py)) - 1) >= {percent} * (nx + ny)"
+    mine = posts.select("s", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    theirs = posts.select("s", F.col("id").alias("y"), F.col("pos").alias("py"))
+    pairs = mine.join(lead, "s").where(f"x <> y and {fits}").select("x", "y", "ny").distinct()
+    pairs = pairs.join(mine, "x").join(theirs, ["y", "s"]).groupBy("x", "y", "nx", "ny")
+    pairs = cut(pairs.agg(F.expr(bound).alias("able")).where("able").drop("able"))
+    links = cut(_verified(docs, pairs, k, percent))
     comps = connected_components(links)
 
     posts = posts.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    open_ = posts.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("lead")).where("lo <> hi").select("s", "lead")
-    rest = cut(posts.join(open_, "s").where("id <> lead").drop("lead"))
-    other = rest.select("s", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("c").alias("cy"))
-    bound = "1 + least(pos, py) + least(nx - pos, ny - py) - 1"
-    left = (
-        rest.withColumnRenamed("n", "nx").withColumnRenamed("id", "x").join(other, "s")
-        .where(f"x < y and c <> cy and {fits} and (100 + {percent}) * ({bound}) >= {percent} * (nx + ny)")
-        .select("x", "y", "nx", "ny").distinct()
-    )
-    left = cut(left)
+    mixed = posts.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s")
+    rest = posts.join(mixed, "s").select("s", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
+    rest = cut(rest)
+    del mine, theirs, lead, posts, mixed
+    other = rest.select("s", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("cx").alias("cy"))
+    left = rest.join(other, "s").where(f"x < y and cx <> cy and {fits}").groupBy("x", "y", "nx", "ny")
+    left = left.agg(F.expr(bound).alias("able")).where("able").drop("able")
+    left = cut(left.join(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti"))
     if left.limit(1).count():
         comps = connected_components(links.union(_verified(docs, left, k, percent)))
 
