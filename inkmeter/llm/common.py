@@ -122,6 +122,57 @@ def _chunk(k: int, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "cells": pa.array([packed], pa.binary())})
 
 
+def seen_twice(df: DataFrame, hashes, bits: int) -> np.ndarray:
+    """Bits (packed) of the ``2**bits`` cells that at least two hashes of the input fall in.
+
+    A cell that is not set holds at most one. Tasks send the sorted cells they
+    met; each chunk of cells is counted where its parts meet. The result has
+    ``2**bits / 8`` bytes whatever the input and may be broadcast.
+    """
+    size, chunk = 1 << bits, 1 << min(bits, 20)
+
+    def met(batches):
+        held, n = [], 0
+        for batch in batches:
+            for h in hashes(batch):
+                held.append((h & np.uint64(size - 1)).astype(np.uint32))
+                n += len(h)
+            if n >= 1 << 21:
+                yield from sent(np.sort(np.concatenate(held)))
+                held, n = [], 0
+        if held:
+            yield from sent(np.sort(np.concatenate(held)))
+
+    def sent(cells):
+        edges = np.searchsorted(cells, np.arange(0, size + 1, chunk))
+        for k in np.flatnonzero(np.diff(edges)):
+            part = cells[edges[k] : edges[k + 1]]
+            steps = np.diff(part, prepend=np.uint32(k * chunk)).astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "cells": pa.array([zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)], pa.binary())})
+
+    def merged(batches):
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column("k").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(part), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                at = np.bincount(np.cumsum(steps, dtype=np.int64), minlength=chunk)
+                counts[k] = np.minimum(at + counts[k], 2).astype(np.uint8) if k in counts else np.minimum(at, 2).astype(np.uint8)
+        for k, n in counts.items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "cells": pa.array([zlib.compress(np.packbits(n >= 2).tobytes(), 1)], pa.binary())})
+
+    kind = "k int, cells binary"
+    out = np.zeros(size // 8, np.uint8)
+    for k, part in df.mapInArrow(met, kind).repartition(32, "k").mapInArrow(merged, kind).collect():
+        out[k * chunk // 8 : (k + 1) * chunk // 8] = np.frombuffer(zlib.decompress(part), np.uint8)
+    return out
+
+
+def in_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash's cell is set in a result of ``seen_twice``."""
+    cell = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
 _R, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _POWERS: dict[str, np.ndarray] = {}

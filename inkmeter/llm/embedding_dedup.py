@@ -70,7 +70,7 @@ def _roots(links: np.ndarray) -> np.ndarray:
         label = near
 
 
-def _compare(key, table: pa.Table) -> pa.Table:
+def _compare(key, table):
     """One block, or two blocks against each other: links per node and a forest of links."""
     t, i, j = (key[k].as_py() for k in (0, 3, 4))
     table = table.sort_by("id")

@@ -115,7 +115,7 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], share:
         match = F.lit(True)
         for c, mine in zip(key, names, strict=True):
             match = match & F.col(mine).eqNullSafe(F.col(f"p_{c}"))
-        return df.join(plan, match, "left")
+        return df.join(plan, match, "left").drop(*(f"p_{c}" for c in key))
 
     marked = planned(small, plan.where("left > 0"), key).where("left > 0").withColumn("u", spot(F.col("id"))).withColumn("r", F.shiftright("u", 63 - RANGE_BITS))
     ranges = marked.groupBy(*key, "left", "r").agg(F.sum("tokens").alias("t"))

@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, count_sketch, cut, shingle_sets
+from .common import connected_components, count_sketch, cut, in_bits, seen_twice, shingle_sets
 
 FRAGMENTS = 4
 SKETCH_BITS = 22
 FILTER_BITS = 20
+TWICE_BITS = 27
 
 
 def _key(found: np.ndarray) -> tuple[int, int]:
@@ -50,26 +51,34 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, cells) -> DataFrame:
-    """(s, k1, k2, n, pos): the first n-grams of each set; a task sends a set once."""
+def _firsts(batches, k: int, percent: int, counts: np.ndarray):
+    """(column batch, [(key, n, first n-grams)]) of each batch's sets; a task gives a set once."""
+    usual = counts.mean() + 5 * counts.mean() ** 0.5 + 8
+    mask, seen = np.uint64(len(counts) - 1), set()
+    for batch in batches:
+        out = []
+        for found in shingle_sets(batch.column("text").to_pylist(), k):
+            n = len(found)
+            if not n or (key := _key(found)) in seen:
+                continue
+            if len(seen) < 200_000:  # only spares repeats; later steps remove the rest
+                seen.add(key)
+            est = counts[(found & mask).astype(np.int64)]
+            rare = np.where(est > usual, np.log2(np.maximum(est, 1)).astype(np.int64), 0)
+            out.append((key, n, found[np.argsort(rare, kind="stable")[: n - (percent * n + 99) // 100 + 1]]))
+        yield out
+
+
+def _prefixes(docs: DataFrame, k: int, percent: int, cells, twice) -> DataFrame:
+    """(s, k1, k2, n, pos): the first n-grams of each set, but for those that surely no other set starts with."""
 
     def run(batches):
-        counts = cells.value
-        usual = counts.mean() + 5 * counts.mean() ** 0.5 + 8
-        mask, seen = np.uint64(len(counts) - 1), set()
-        for batch in batches:
+        for rows in _firsts(batches, k, percent, cells.value):
             cols = [[], [], [], [], []]
-            for found in shingle_sets(batch.column("text").to_pylist(), k):
-                n = len(found)
-                if not n or (key := _key(found)) in seen:
-                    continue
-                if len(seen) < 200_000:  # only spares repeats; later steps remove the rest
-                    seen.add(key)
-                est = counts[(found & mask).astype(np.int64)]
-                rare = np.where(est > usual, np.log2(np.maximum(est, 1)).astype(np.int64), 0)
-                first = found[np.argsort(rare, kind="stable")[: n - (percent * n + 99) // 100 + 1]]
-                m = len(first)
-                for col, x in zip(cols, (first.view(np.int64), np.full(m, key[0]), np.full(m, key[1]), np.full(m, n), np.arange(m)), strict=True):
+            for key, n, first in rows:
+                pos = np.flatnonzero(in_bits(twice.value, first))
+                m = len(pos)
+                for col, x in zip(cols, (first[pos].view(np.int64), np.full(m, key[0]), np.full(m, key[1]), np.full(m, n), pos), strict=True):
                     col.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["s", "k1", "k2", "n", "pos"])
@@ -144,14 +153,19 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 
     cells = spark.sparkContext.broadcast(count_sketch(docs, lambda b: _joined(grams(b)), SKETCH_BITS))
     named = docs.where("doc_id is not null")
-    first = _prefixes(named, k, percent, cells)
+    twice = spark.sparkContext.broadcast(_twice(named, k, percent, cells))
+    first = _prefixes(named, k, percent, cells, twice)
     spread = [f(c).alias(f.__name__ + c) for c in ("k1", "k2") for f in (F.min, F.max)]
     shared = first.groupBy("s").agg(*spread).where("mink1 <> maxk1 or mink2 <> maxk2").select("s")
     posts = first.join(shared, "s").dropDuplicates(["s", "k1", "k2"])
     posts = cut(posts.join(nodes, ["k1", "k2"]).select("s", "id", "n", "pos"))
 
     del first, shared
-    lead = posts.groupBy("s").agg(F.min("id").alias("y"), F.min_by("n", "id").alias("ny"))
+    # A bucket's leader is the member whose prefix most others share: of near copies, the one nearest to all.
+    sizes = posts.groupBy("s").agg(F.count("*").alias("size"))
+    weight = posts.join(sizes, "s").groupBy("id").agg(F.sum("size").alias("weight"))
+    rank = F.col("weight") * 1024 + F.pmod(F.xxhash64("id"), F.lit(1024))
+    lead = posts.join(weight.select("id", rank.alias("rank")), "id").groupBy("s").agg(F.max_by("id", "rank").alias("y"), F.max_by("n", "rank").alias("ny"))
     fits = f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
     # What two sets share up to their last common prefix n-gram is known; the rest bounds the overlap.
     bound = f"(100 + {percent}) * (count(1) + least(nx - max(px), ny - max(py)) - 1) >= {percent} * (nx + ny)"
@@ -180,6 +194,17 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _twice(docs: DataFrame, k: int, percent: int, cells) -> np.ndarray:
+    """The cells that the prefixes of at least two sets fall in."""
+
+    def run(batches):
+        for rows in _firsts(batches, k, percent, cells.value):
+            got = np.concatenate([x for _, _, x in rows]) if rows else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64))], names=["s"])
+
+    return seen_twice(docs.mapInArrow(run, "s long"), lambda b: [b.column("s").to_numpy().view(np.uint64)], TWICE_BITS)
+
+
 def _joined(found: list[np.ndarray]) -> list[np.ndarray]:
     return [np.concatenate(found)] if found else []
 
