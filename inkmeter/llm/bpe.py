@@ -20,14 +20,15 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from bisect import bisect_left
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import Recent
+
 END = "</w>"
-CACHE = 150_000
+CACHE = 120_000
 #: The white space and the word pattern of the tokenizer file.
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -72,7 +73,7 @@ class Compiled:
         return [self.symbols[c] for c in token]
 
     def _automaton(self, words: list[list[int]]) -> None:
-        """The suffix automaton of all tokens, packed into sorted arrays."""
+        """The suffix automaton of all tokens, packed into one table of moves and arrays."""
         step: list[dict[int, int]] = [{}]
         link, size = [-1], [0]
 
@@ -116,8 +117,7 @@ class Compiled:
         up = array("i", [-1]) * len(step)
         for v in sorted(range(1, len(step)), key=size.__getitem__):
             up[v] = link[v] if token[link[v]] >= 0 else up[link[v]]
-        moves = sorted((v << 10 | c, to) for v, row in enumerate(step) for c, to in row.items())
-        self.keys, self.to = array("q", (k for k, _ in moves)), array("i", (t for _, t in moves))
+        self.moves = {v << 10 | c: to for v, row in enumerate(step) for c, to in row.items()}
         self.link, self.size, self.token, self.up = array("i", link), array("i", size), token, up
 
 
@@ -126,13 +126,17 @@ class Encoder:
 
     def __init__(self, tables: Compiled):
         self.t = tables
-        self.chars = byte_chars()
+        chars = byte_chars()
+        self.inner = [tables.symbols[c] for c in chars]
+        self.final = [tables.symbols[c + END] for c in chars]
         self.words = regex.compile(WORDS)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(tables.special, key=len, reverse=True))) + ")") if tables.special else None
         self.parents = {(a, b): tables.base + i for i, (a, b) in enumerate(zip(tables.halves[::2], tables.halves[1::2], strict=True))}
         self.sides: dict[int, list[int]] = {}
         self.fit: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, tuple[str, str]] = {}
+        self.ends: dict[int, list[tuple[int, int]]] = {-1: [], 0: []}
+        self.words_known = Recent(self._named, CACHE)
+        self.chunks = Recent(self._chunk, CACHE)
 
     def _spine(self, token: int, side: int) -> list[int]:
         """What stood at one edge of ``token`` while it grew, oldest first."""
@@ -166,54 +170,58 @@ class Encoder:
             if due_a == never and due_b == never:
                 break
             i, j = i + (due_a <= due_b), j + (due_b <= due_a)
-        if len(self.fit) > 1_000_000:
+        if len(self.fit) > 300_000:
             self.fit.clear()
         self.fit[left, right] = ok
         return ok
 
+    def _ends(self, state: int) -> list[tuple[int, int]]:
+        """(length, token) of the tokens that end where a state is wholly matched, longest first."""
+        if (known := self.ends.get(state)) is None:
+            t = self.t
+            known = ([(t.size[state], t.token[state])] if t.token[state] >= 0 else []) + self._ends(t.up[state])
+            self.ends[state] = known
+        return known
+
     def word(self, text: str) -> list[int]:
         """The tokens (by age) of one pre-token."""
-        t, chars = self.t, self.chars
-        spelled = [chars[x] for x in text.encode("utf-8", "surrogatepass")]
-        spelled[-1] += END
-        keys, to, link, size, token, up = t.keys, t.to, t.link, t.size, t.token, t.up
-        last, back, state, length = [-1], [-1], 0, 0
-        for end, name in enumerate(spelled, 1):
-            c = t.symbols[name]
-            while True:
-                k = bisect_left(keys, state << 10 | c)
-                if k < len(keys) and keys[k] == state << 10 | c:
-                    state, length = to[k], length + 1
-                    break
+        raw = text.encode("utf-8", "surrogatepass")
+        inner, moves, link, size, ends, fit = self.inner, self.t.moves.get, self.t.link, self.t.size, self.ends, self.fit
+        spelled = [inner[x] for x in raw]
+        spelled[-1] = self.final[raw[-1]]
+        last, back, state, length, end = [-1], [-1], 0, 0, 0
+        for c in spelled:
+            end += 1
+            while (to := moves(state << 10 | c)) is None:
                 state = link[state]
                 length = size[state]
-            at = state if token[state] >= 0 and length == size[state] else up[state]
-            if length < size[state]:
-                at = up[state]
-            while True:
-                start, x = end - size[at], token[at]
-                if start == 0 or self.compatible(last[start], x):
-                    last.append(x)
-                    back.append(start)
+            state, length = to, length + 1
+            at = state if length == size[state] else link[state]
+            for n, x in ends.get(at) or self._ends(at):
+                if n == end:
                     break
-                at = up[at]
+                left = last[end - n]
+                ok = fit.get((left, x))
+                if ok is None:
+                    ok = self.compatible(left, x)
+                if ok:
+                    break
+            last.append(x)
+            back.append(end - n)
         out, at = [], len(spelled)
         while at:
             out.append(last[at])
             at = back[at]
         return out[::-1]
 
-    def chunk(self, text: str) -> tuple[str, str]:
+    def _named(self, word: str) -> tuple[str, str]:
+        found = self.word(word)
+        return " ".join([str(self.t.ids[x]) for x in found]), " ".join([self.t.names[x] for x in found])
+
+    def _chunk(self, text: str) -> tuple[str, str]:
         """Ids and token strings, each joined by a space, of text without white space."""
-        if (known := self.chunks.get(text)) is None:
-            found = [x for w in self.words.findall(text) for x in self.word(w)]
-            known = " ".join(str(self.t.ids[x]) for x in found), " ".join(self.t.names[x] for x in found)
-            if len(text) <= 64:
-                if len(self.chunks) >= CACHE:
-                    for old in list(self.chunks)[: CACHE // 2]:
-                        del self.chunks[old]
-                self.chunks[text] = known
-        return known
+        found = [self.words_known[w] for w in self.words.findall(text)]
+        return found[0] if len(found) == 1 else (" ".join([x for x, _ in found]), " ".join([x for _, x in found]))
 
     def encode(self, text: str | None) -> tuple[str, str]:
         """Ids and decoded text. The decoded text is the token strings joined by
@@ -229,7 +237,7 @@ class Encoder:
             part = part.lower()
             odd = any(c in part for c in "\x1c\x1d\x1e\x1f")  # white space to str.split alone
             pieces = [x for x in regex.split(f"[{SPACE}]+", part) if x] if odd else part.split()
-            found = [self.chunk(x) for x in pieces]
+            found = [self.chunks[x] for x in pieces]
             ids += [x for x, _ in found]
             names += [x for _, x in found]
         return " ".join(ids), " ".join(names)

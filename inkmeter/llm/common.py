@@ -71,6 +71,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = labels.select("a", "label")
 
 
+class Recent(dict):
+    """Results of ``make`` by key, in two generations of at most ``size`` entries.
+
+    A full table becomes the old one; what is asked for again moves back, so
+    common keys stay. Long keys are not kept. Memory is bounded.
+    """
+
+    def __init__(self, make, size: int, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.longest, self.old = make, size, longest, {}
+
+    def __missing__(self, key):
+        found = self.old.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 CHUNK = 1 << 16
 
 

@@ -20,9 +20,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Recent
+
 MARK = "▁"
 UNKNOWN_COST = 10.0
-CACHE = 200_000
+CACHE = 150_000
 ODD_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
@@ -44,7 +46,7 @@ class Counter:
             self.auto.add_word(piece, (len(piece), score))
         self.auto.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_COST
-        self.words: dict[str, tuple[int, float]] = {}
+        self.words = Recent(lambda w: self.word(MARK + w), CACHE)
 
     def word(self, word: str) -> tuple[int, float]:
         """Number of pieces and score of the best split of one marked word."""
@@ -70,19 +72,10 @@ class Counter:
 
     def text(self, text: str | None) -> tuple[int, float]:
         """Number of pieces and total score of a text."""
-        known, n, total, text = self.words, 0, 0.0, text or ""
+        known, text = self.words, text or ""
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space to str.split alone
-        for w in filter(None, ODD_SPACE.split(text)) if odd else text.split():
-            if (got := known.get(w)) is None:
-                got = self.word(MARK + w)
-                if len(w) <= 64:
-                    if len(known) >= CACHE:
-                        for old in list(known)[: CACHE // 2]:
-                            del known[old]
-                    known[w] = got
-            n += got[0]
-            total += got[1]
-        return n, total
+        got = [known[w] for w in (filter(None, ODD_SPACE.split(text)) if odd else text.split())]
+        return sum([n for n, _ in got]), sum([x for _, x in got], 0.0)
 
 
 _COUNTERS: dict[str, Counter] = {}

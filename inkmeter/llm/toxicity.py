@@ -14,6 +14,7 @@ doc_id). Scoring runs over all rows and whole texts.
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Recent
+
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 6_000
 MAX_FEATURES = 4_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 SPACE = 1 << 22
-CACHE = 200_000
+CACHE = 150_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -50,18 +53,25 @@ class Model:
     weights: dict[int, float]
     bias: float
 
-    def score(self, words: set[bytes], cache: dict[bytes, tuple]) -> float:
-        got: set = set()
-        for w in words:
-            if (known := cache.get(w)) is None:
-                known = tuple(x for x in parts_of(w) if x in self.weights)
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[w] = known
-            if known:
-                got.update(known)
+    def score(self, words: set[bytes], known: Recent) -> float:
+        """The score of a text with these words; ``known`` gives a word's features that have weights."""
+        got = {x for w in words for x in known[w]}
         z = self.bias + sum(self.weights[x] for x in sorted(got))
-        return 1 / (1 + np.exp(-z)) if z > -30 else 0.0
+        return 1 / (1 + math.exp(-z)) if z > -30 else 0.0
+
+    def table(self) -> Recent:
+        return Recent(lambda w: tuple(x for x in parts_of(w) if x in self.weights), CACHE)
+
+
+_TABLES: dict[int, Recent] = {}
+
+
+def table_of(shared) -> Recent:
+    """A worker's table for a broadcast model, kept between tasks."""
+    if id(shared.value) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[id(shared.value)] = shared.value.table()
+    return _TABLES[id(shared.value)]
 
 
 def _features(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
@@ -166,7 +176,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        cache: dict[bytes, tuple] = {}
+        cache = table_of(shared)
         for batch in batches:
             score = [float(shared.value.score(words_of(t.as_py()), cache)) for t in batch.column("text")]
             held = [x is not None and zlib.crc32(str(x).encode()) % FOLDS == HELD_OUT for x in batch.column("doc_id").to_pylist()]
@@ -186,7 +196,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        cache: dict[bytes, tuple] = {}
+        cache = table_of(model)
         for batch in batches:
             keep = [model.value.score(words_of(t.as_py()), cache) < THRESHOLD for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
