@@ -46,7 +46,13 @@ class Counter:
             self.auto.add_word(piece, (len(piece), score))
         self.auto.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_COST
-        self.words = Recent(lambda w: self.word(MARK + w), CACHE)
+        self.words = Recent(self.marked, CACHE)
+
+    def marked(self, word: str) -> tuple[int, float]:
+        """A word with its leading mark; one that holds the mark itself is cut before each."""
+        parts = [MARK + x for x in word.removeprefix(MARK).split(MARK)]
+        got = [self.word(x) for x in parts]
+        return sum([n for n, _ in got]), sum([x for _, x in got])
 
     def word(self, word: str) -> tuple[int, float]:
         """Number of pieces and score of the best split of one marked word."""
