@@ -37,6 +37,11 @@ def rates_of(names: list[str]):
 
 
 #: Counts in SQL; RE2 has no look-around, so vetoed contexts are counted and taken off.
+THREE = r"\b\w+, \w+,? (?:and|or) \w+\b|\b\w+, \w+(?: \w+){1,3}, (?:and|or) \w+\b"
+THREE_WIDE = r"^\w+, \w+(?: \w+)+, (?:and|or) "
+THREE_VETO = r"^\w+, (?:\w+ )*(?:we|I|it|they|you|he|she|there|is|are|was|were|has|have|had|will|would|can|could|may|might|should|but|namely|via|say)(?: \w+)*, "
+
+
 def count_sql(name: str) -> str:
     def n(pattern: str) -> str:
         return f"len(regexp_extract_all(rt, {quoted(pattern)}))"
@@ -49,7 +54,7 @@ def count_sql(name: str) -> str:
         "not_x_its_y": n(r"(?i)\b(?:it|this|that)(?:['’]?s not| is not| isn['’]?t) (?:just |only |merely |simply )?[^.!?,;:]{2,40}?(?:[,;:]|\s?[—–]|\s-{1,3}|-{1,3}\s|---)\s*(?:it|this|that)(?:['’]?s| is)\b"),
         "in_conclusion": n(r"(?i)\b(?:in conclusion|in summary)\b") + " + " + n(r"(?i)\b(?:in sum|to sum (?:it |this |things |everything )?up|to summari[sz]e|to conclude)\s*[,:]"),
         "em_dash": n("—") + " + " + n(r"""(?:[A-Za-z'’][A-Za-z]|[.\w][)"'”’])[^\S\n][-–]\s[A-Za-z"“(]"""),
-        "rule_of_three": n(r"\b\w+, \w+,? (?:and|or) \w+\b|\b\w+, \w+(?: \w+){1,3}, (?:and|or) \w+\b"),
+        "rule_of_three": f"len(list_filter(regexp_extract_all(rt, {quoted(THREE)}), lambda x: NOT (regexp_matches(x, {quoted(THREE_WIDE)}) AND regexp_matches(x, {quoted(THREE_VETO)}))))",
     }.get(name) or n("(?i)" + ({**M.WORDS, **M.PHRASES}[name]))
 
 
@@ -73,10 +78,11 @@ def whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 OWN_SQL = """regexp_replace(rt, '"[^"]{0,300}"|“[^”]{0,300}”', ' ', 'g')"""
 CONTRACTION_SQL = "(?i)" + M.CONTRACTION.replace("(?!van['’]t\\b)", "")
 BARE_SQL = r"""(?i)(?:^|[^\pL\pN_\\"'’])(?:(?:do|does|did|is|are|was|were|has|have|had|could|would|should|must|need)nt|cant|youre|theyre|thats|whats|theres|(?:you|they|we)ve|(?:would|could|should|must)ve)(?:$|[^\pL\pN_'’])"""
+BARE_I_SQL = r"""(?:^|[^\pL\pN_\\"'’])(?:(?:im|ive) [a-z]|(?:Im|Ive) (?:""" + M.AFTER_I + r""")(?:$|[^\pL\pN_]))"""
 FLAG_SQL = {
     "em_dash_heavy": f"({count_sql('em_dash')}) >= 2",
     "bulleted_bold": r"regexp_matches(text, '(?m)^\s*[-*•]\s+\*\*')",
-    "no_contraction": f"NOT (regexp_matches({OWN_SQL}, {quoted(CONTRACTION_SQL)}) OR regexp_matches({OWN_SQL}, {quoted(BARE_SQL)}))",
+    "no_contraction": f"NOT (regexp_matches({OWN_SQL}, {quoted(CONTRACTION_SQL)}) OR regexp_matches({OWN_SQL}, {quoted(BARE_SQL)}) OR regexp_matches({OWN_SQL}, {quoted(BARE_I_SQL)}))",
     "no_first_person": rf"NOT (regexp_matches({OWN_SQL}, '(?:^|[^$\\{{/&\w-])I(?:[''’](?:m|ve|d|ll)|\s+(?:don|th|am|was))') OR regexp_matches({OWN_SQL}, '(?:^|\PL)(?:[Mm]y|[Mm]e|[Mm]yself|MY)(?:\PL|$)'))",
     "no_personal_detail": f"NOT regexp_matches({OWN_SQL}, {quoted('(?i)' + M.PERSONAL)})",
     "no_typo_markers": f"NOT regexp_matches(rt, {quoted('(?i)' + M.INFORMAL)})",
