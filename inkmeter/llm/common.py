@@ -108,21 +108,25 @@ def count_sketch(df: DataFrame, hashes, bits: int) -> np.ndarray:
     chunk = min(CHUNK, size)
 
     def count(batches):
-        cells, held, n = np.zeros(size, np.int64), [], 0
+        cells, held, n = np.zeros(size, np.uint32), [], 0
         for batch in batches:
             for h in hashes(batch):
-                held.append((h & np.uint64(size - 1)).astype(np.int64))
+                held.append((h & np.uint64(size - 1)).astype(np.uint32))
                 n += len(h)
-                if n >= size:
-                    cells += np.bincount(np.concatenate(held), minlength=size)
+                if n >= 1 << 20:
+                    add(cells, held)
                     held, n = [], 0
-        if held:
-            cells += np.bincount(np.concatenate(held), minlength=size)
+        add(cells, held)
         for k in range(size // chunk):
             part = cells[k * chunk : (k + 1) * chunk]
             if part.any():
                 yield _chunk(k, part)
 
+    def add(cells, held):
+        if held:
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            cells[at] += times.astype(np.uint32)
+
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -160,7 +164,7 @@ def seen_twice(df: DataFrame, hashes, bits: int) -> np.ndarray:
             for h in hashes(batch):
                 held.append((h & np.uint64(size - 1)).astype(np.uint32))
                 n += len(h)
-            if n >= 1 << 21:
+            if n >= 1 << 20:
                 yield from sent(np.sort(np.concatenate(held)))
                 held, n = [], 0
         if held:

@@ -61,7 +61,7 @@ def _firsts(batches, k: int, percent: int, counts: np.ndarray):
             n = len(found)
             if not n or (key := _key(found)) in seen:
                 continue
-            if len(seen) < 200_000:  # only spares repeats; later steps remove the rest
+            if len(seen) < 50_000:  # only spares repeats; later steps remove the rest
                 seen.add(key)
             est = counts[(found & mask).astype(np.int64)]
             rare = np.where(est > usual, np.log2(np.maximum(est, 1)).astype(np.int64), 0)
