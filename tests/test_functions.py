@@ -1,0 +1,136 @@
+"""Golden strings through the column functions."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from inkmeter.functions import clean, normalize, stats, tokens
+from inkmeter.functions.markers import BY_ID, MARKERS
+from inkmeter.functions.sentences import sentences
+
+
+def one(spark, text, column):
+    return spark.createDataFrame([(text,)], "t string").select(column(F.col("t"))).first()[0]
+
+
+def test_catalogue():
+    assert len(MARKERS) == 25 and sum(m.count is not None for m in MARKERS) == 17
+
+
+@pytest.mark.parametrize(
+    "marker, text, n",
+    [
+        ("delve", "We delve, delving deeper; they Delved.", 3),
+        ("realm", "réalms realmé realms", 2),
+        ("leverage", "We leverage it. They have leverage. Leveraging 10x leverage, leveraged trades.", 2),
+        ("in_conclusion", "In conclusion we stop. To sum up, we stop. To sum up over all.", 2),
+        ("em_dash", "a word - another one — and more\n- item\n---\nCalabi--Yau", 2),
+        ("not_only_but_also", "It is not only fast, e.g. here, but it is also cheap.", 1),
+        ("not_x_its_y", "It's not a bug, it's a feature. This isn't luck; this is skill.", 2),
+        ("rule_of_three", "apples, pears and plums. However, forward and backward. In 1989, Smith and Lee.", 1),
+        ("important_to_note", "it is also important to note; it's worth noting", 2),
+    ],
+)
+def test_counts(spark, marker, text, n):
+    assert one(spark, text, BY_ID[marker].count) == n
+
+
+@pytest.mark.parametrize(
+    "marker, text, hit",
+    [
+        ("no_contraction", "The model's van't Hoff law.", True),
+        ("no_contraction", "dont go", False),
+        ("no_contraction", 'He said "I can\'t".', True),
+        ("no_first_person", "Type I and the $I$ index i.", True),
+        ("no_first_person", "So I think.", False),
+        ("bulleted_bold", "x\n- **lead** in", True),
+        ("title_case_headings", "## Two Words\ntext", True),
+        ("title_case_headings", "## One\nWord", False),
+        ("no_typo_markers", "gonna", False),
+    ],
+)
+def test_flags(spark, marker, text, hit):
+    assert one(spark, text, BY_ID[marker].test) is hit
+
+
+def test_sentences(spark):
+    text = "We saw E. coli grow, e.g. here. No. 3 won. It ended\n\nNew part\n- one\n- two"
+    assert one(spark, text, sentences) == ["We saw E. coli grow, e.g. here.", "No. 3 won.", "It ended", "New part", "- one", "- two"]
+
+
+@pytest.mark.parametrize(
+    "text, model, cut, ending",
+    [
+        ("All is well.", "gpt4", False, "stop"),
+        ("and then,", "gpt4", True, None),
+        ("Thanks for reading, Sam", "gpt4", False, None),
+        ("Done it. Best, Sam", "gpt4", False, "signature"),
+        ("great #fun", "gpt4", False, "symbol"),
+        ("one two " * 8, "gpt4", True, None),
+        ("Mixed it. 2.", "gpt4", True, "stop"),
+        ("", "gpt4", True, None),
+    ],
+)
+def test_truncation(spark, text, model, cut, ending):
+    row = spark.createDataFrame([(text, model)], "t string, m string").select(clean.is_truncated(F.col("t"), F.col("m")), clean.finished_ending(F.col("t"))).first()
+    assert tuple(row) == (cut, ending)
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("I cannot provide a response to that.", "refusal"),
+        ("As an AI, I refuse.", "assistant"),
+        ("Sure, here's a possible Reddit post:", "preamble"),
+        ("Body: it began", "label"),
+        ("Yours [Your Name]", "placeholder"),
+        ("It rained all day.", None),
+        ("Dear sir. Done.\nSincerely,\n[Your Name]", None),
+    ],
+)
+def test_meta(spark, text, kind):
+    assert one(spark, text, clean.meta_kind) == kind
+
+
+def test_english(spark):
+    assert one(spark, "the cat and the dog", clean.english_share) == pytest.approx(0.6)
+    assert one(spark, "1 2 3", clean.english_share) == 0
+
+
+def test_wraps(spark):
+    for width in (20, 40, 60):
+        words, lines, line = ("alpha beta, gamma delta and epsilon zeta " * 5).split(), [], ""
+        for w in words:
+            if len(line) + len(w) > width:
+                lines.append(line.strip())
+                line = ""
+            line += w + " "
+        assert one(spark, "\n".join([*lines, line.strip()]), normalize.join_wraps) == " ".join(words)
+    assert one(spark, "List:\n- a\nb\n- c\n\nEnd", normalize.join_wraps) == "List:\n- a b\n- c\n\nEnd"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>a <b>b</b>&mdash;c</p><ul><li>x</li><li><p>y</p></li></ul>", "a **b**—c\n\n- x\n- y"),
+        ("<ol><li>x<li>y</ol><h2>T</h2>z", "1. x\n2. y\n\n## T\nz"),
+        ("<blockquote>q<blockquote>r</blockquote></blockquote>own <pre>code</pre>him--he", "own\n\nhim—he"),
+        ("&amp;lt; &#150; &#x2F; &zz;", "&lt; – / &zz;"),
+    ],
+)
+def test_html(html, text):
+    assert normalize.html_text(html) == text
+
+
+def test_poisson():
+    for k, lo, hi in ((0, 0, 3.688879), (1, 0.025318, 5.571643), (5, 1.623486, 11.668332), (10, 4.795389, 18.390356)):
+        assert stats.poisson_interval(k) == (pytest.approx(lo, abs=1e-6), pytest.approx(hi, abs=1e-6))
+
+
+def test_conditional():
+    for x, wx, y, wy, p in ((1, 2000, 0, 270000, 7.35e-3), (2, 2000, 3, 270000, 5.33e-4), (3, 11000, 10, 270000, 1.28e-2), (5, 164000, 0, 270000, 7.70e-3)):
+        assert stats.conditional_test([x], [x + y], [wx / (wx + wy)], 1)[0] == pytest.approx(p, rel=5e-3)
+
+
+def test_bins(spark):
+    rows = spark.createDataFrame([(x,) for x in (79, 80, 129, 130, 400, 800, 801)], "n long").select(tokens.length_bin(F.col("n"))).collect()
+    assert [r[0] for r in rows] == [-1, 0, 0, 1, 3, 3, -1]
