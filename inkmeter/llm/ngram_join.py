@@ -10,7 +10,8 @@ summed per pair and held against the threshold. So every link is exact.
 
 Equal sets are one node. Among the nodes that share a prefix n-gram, one leader
 is compared with all first; pairs that the links found so far already connect
-need no comparison, and only the rest are compared one by one. A group of near
+need no comparison, and only the rest are compared one by one, in large groups
+block by block and after a bound on their overlap. A group of near
 copies thus costs a few comparisons per member and not one per pair, while no
 two documents that are linked end in different components.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, count_sketch, cut, in_bits, seen_twice, shingle_sets
 
 FRAGMENTS = 4
+BLOCK = 512
 SKETCH_BITS = 22
 FILTER_BITS = 20
 TWICE_BITS = 27
@@ -134,6 +136,55 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return total.where(f"100 * both >= {percent} * (nx + ny - both)").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _profiles(docs: DataFrame, k: int, wanted) -> DataFrame:
+    """(x, profile): how many n-grams of a set fall in each of 256 ranges of the hash."""
+
+    def run(batches):
+        bits = wanted.value
+        mask = np.uint64(len(bits) - 1)
+        for batch in batches:
+            ids = np.array([0 if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+            want = np.flatnonzero(bits[(id_hash(ids) & mask).astype(np.int64)])
+            texts = batch.column("text").take(pa.array(want)).to_pylist()
+            rows = [np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint32).tobytes() for x in shingle_sets(texts, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[want]), pa.array(rows, pa.binary())], names=["x", "profile"])
+
+    return docs.mapInArrow(run, "x long, profile binary")
+
+
+def _across(docs: DataFrame, many: DataFrame, k: int, percent: int) -> DataFrame:
+    """(x, y) of the pairs in large buckets whose components differ and whose profiles allow a link.
+
+    A bucket is cut into blocks, and every two blocks meet in a task, which
+    passes on only pairs that may be links: profiles bound the overlap from
+    above, closely for near copies.
+    """
+    cells = count_sketch(many.select("x").distinct(), lambda b: [id_hash(b.column("x").to_numpy())], FILTER_BITS)
+    profiles = _profiles(docs, k, docs.sparkSession.sparkContext.broadcast(cells > 0)).dropDuplicates(["x"])
+    rows = many.join(profiles, "x").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def compare(key, table):
+        x, n, pos, c, block = (table.column(v).to_numpy() for v in ("x", "nx", "px", "cx", "block"))
+        profile = np.array([np.frombuffer(v, np.uint32) for v in table.column("profile").to_pylist()])
+        apart = key[1].as_py() != key[2].as_py()
+        left, right = [], []
+        for r in range(len(x)):
+            ok = (x > x[r]) & (c != c[r]) & (100 * np.minimum(n, n[r]) >= percent * np.maximum(n, n[r]))
+            if apart:
+                ok &= block != block[r]
+            ok &= (100 + percent) * (np.minimum(pos, pos[r]) + np.minimum(n - pos, n[r] - pos[r])) >= percent * (n + n[r])
+            at = np.flatnonzero(ok)
+            both = np.minimum(profile[at], profile[r]).sum(axis=1)
+            at = at[(100 + percent) * both >= percent * (n[at] + n[r])]
+            left.append(np.full(len(at), x[r]))
+            right.append(x[at])
+        return pa.table({"x": pa.array(np.concatenate(left).astype(np.int64)), "y": pa.array(np.concatenate(right).astype(np.int64))})
+
+    return rows.select("s", "i", "j", "x", "nx", "px", "cx", "block", "profile").groupBy("s", "i", "j").applyInArrow(compare, "x long, y long")
+
+
 def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -170,22 +221,27 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     # What two sets share up to their last common prefix n-gram is known; the rest bounds the overlap.
     bound = f"(100 + {percent}) * (count(1) + least(nx - max(px), ny - max(py)) - 1) >= {percent} * (nx + ny)"
     mine = posts.select("s", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    theirs = posts.select("s", F.col("id").alias("y"), F.col("pos").alias("py"))
-    pairs = mine.join(lead, "s").where(f"x <> y and {fits}").select("x", "y", "ny").distinct()
-    pairs = pairs.join(mine, "x").join(theirs, ["y", "s"]).groupBy("x", "y", "nx", "ny")
-    pairs = cut(pairs.agg(F.expr(bound).alias("able")).where("able").drop("able"))
+    theirs = posts.select("s", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+
+    def able(pairs: DataFrame) -> DataFrame:
+        met = pairs.select("x", "y").distinct().join(mine, "x").join(theirs, ["y", "s"]).groupBy("x", "y", "nx", "ny")
+        return cut(met.agg(F.expr(bound).alias("able")).where("able").drop("able"))
+
+    pairs = able(mine.select("s", "x", "nx").join(lead, "s").where(f"x <> y and {fits}"))
     links = cut(_verified(docs, pairs, k, percent))
     comps = connected_components(links)
 
-    posts = posts.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    mixed = posts.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s")
-    rest = posts.join(mixed, "s").select("s", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx"))
-    rest = cut(rest)
-    del mine, theirs, lead, posts, mixed
-    other = rest.select("s", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("cx").alias("cy"))
-    left = rest.join(other, "s").where(f"x < y and cx <> cy and {fits}").groupBy("x", "y", "nx", "ny")
-    left = left.agg(F.expr(bound).alias("able")).where("able").drop("able")
-    left = cut(left.join(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti"))
+    placed = posts.join(comps, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    mixed = placed.groupBy("s").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "size")
+    rest = cut(placed.join(mixed, "s").select("s", "size", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("c").alias("cx")))
+    few = rest.where(F.col("size") <= BLOCK // 8)
+    other = few.select("s", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("cx").alias("cy"))
+    found = few.join(other, "s").where(f"x < y and cx <> cy and {fits}").select("x", "y")
+    many = rest.where(F.col("size") > BLOCK // 8)
+    if many.limit(1).count():
+        found = found.union(_across(docs, many, k, percent))
+    tested = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    left = able(found.distinct().join(tested, ["x", "y"], "left_anti"))
     if left.limit(1).count():
         comps = connected_components(links.union(_verified(docs, left, k, percent)))
 

@@ -75,6 +75,23 @@ def test_ngram_join(docs, texts, k, percent):
     assert got == {i: (want[i], len(sets[i])) for i in sets}
 
 
+def test_ngram_join_large_buckets(spark, monkeypatch):
+    """Buckets beyond a block, of copies that are not all linked, are compared in blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    lines = []
+    for _ in range(70):
+        v = list(base)
+        for at in rnd.sample(range(120), rnd.choice([1, 2, 3, 4])):
+            v[at] = f"z{rnd.random()}"
+        lines.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = components({i: shingles(t, 4) for i, t in enumerate(lines)}, 85)
+    assert 1 < len(set(want.values())) < 70
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_components(df).collect()} == want
+
+
 def test_ngram_join_odd(spark, docs, empty):
     assert ngram_join.ngram_components(empty).count() == 0
     twice = docs.union(docs).union(spark.createDataFrame([(None, "a b c d e", "en", "s", 9)], docs.schema))
