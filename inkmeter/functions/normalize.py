@@ -108,7 +108,7 @@ def html_text(html: str | None) -> str | None:
         if not quote and not skip and piece:
             out.append(re.sub(r"\s+", " ", piece))
 
-    html = _without_quoted_lines(html)
+    html = re.sub(r"</li\s*>\s*(?=<li\b)", "", _without_quoted_lines(html), flags=re.I)  # the next item breaks the line
     for m in _TAG.finditer(html):
         text(html[at : m.start()])
         at = m.end()

@@ -62,7 +62,7 @@ def test_sentences(spark):
     [
         ("All is well.", "gpt4", False, "stop"),
         ("and then,", "gpt4", True, None),
-        ("Thanks for reading, Sam", "gpt4", False, None),
+        ("Thanks for reading, Sam", "gpt4", False, "signature"),
         ("Done it. Best, Sam", "gpt4", False, "signature"),
         ("great #fun", "gpt4", False, "symbol"),
         ("one two " * 8, "gpt4", True, None),
@@ -113,7 +113,7 @@ def test_wraps(spark):
     [
         ("<p>a <b>b</b>&mdash;c</p><ul><li>x</li><li><p>y</p></li></ul>", "a **b**—c\n\n- x\n- y"),
         ("<ol><li>x<li>y</ol><h2>T</h2>z", "1. x\n2. y\n\n## T\nz"),
-        ("<blockquote>q<blockquote>r</blockquote></blockquote>own <pre>code</pre>him--he", "own\n\nhim—he"),
+        ("<blockquote>q<blockquote>r</blockquote></blockquote>own <pre>code</pre>him--he", "own\nhim—he"),
         ("&amp;lt; &#150; &#x2F; &zz;", "&lt; – / &zz;"),
     ],
 )
