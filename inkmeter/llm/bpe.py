@@ -25,10 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Recent
+from .common import Recent, held
 
 END = "</w>"
-CACHE = 120_000
+CACHE = 80_000
 #: The white space and the word pattern of the tokenizer file.
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -243,15 +243,9 @@ class Encoder:
         return " ".join(ids), " ".join(names)
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(tables) -> Encoder:
-    """The worker's encoder for a broadcast vocabulary, kept between tasks."""
-    if tables.value.mark not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[tables.value.mark] = Encoder(tables.value)
-    return _ENCODERS[tables.value.mark]
+    """The worker's encoder for a broadcast vocabulary."""
+    return held(("bpe", tables.value.mark), lambda: Encoder(tables.value))
 
 
 def compiled(spark: SparkSession, path: str):

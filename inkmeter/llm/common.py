@@ -71,6 +71,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = labels.select("a", "label")
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """A Python worker's tables for ``key``, kept between tasks.
+
+    Workers serve one operator after another; only the last one's tables stay,
+    so that memory does not add up along a pipeline.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class Recent(dict):
     """Results of ``make`` by key, in two generations of at most ``size`` entries.
 

@@ -14,6 +14,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import held
+
 #: The base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
@@ -163,7 +165,6 @@ class Scanner:
         return len(words), starts, labels, [(a, b, r.label, r.confidence) for a, b, r in words_at]
 
 
-_SCANNER: list[Scanner] = []
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections string"
 
 
@@ -179,9 +180,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        if not _SCANNER:
-            _SCANNER.append(Scanner())
-        scan = _SCANNER[0].scan
+        scan = held("licences", Scanner).scan
         for batch in batches:
             rows = []
             for text in batch.column("text"):

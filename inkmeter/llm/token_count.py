@@ -20,7 +20,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Recent
+from .common import Recent, held
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -84,9 +84,6 @@ class Counter:
         return sum([n for n, _ in got]), sum([x for _, x in got], 0.0)
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, score (sum of the chosen pieces' scores) of every row.
 
@@ -98,9 +95,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches):
-        if path not in _COUNTERS:
-            _COUNTERS[path] = Counter(pieces.value)
-        counter = _COUNTERS[path]
+        counter = held(("unigram", path), lambda: Counter(pieces.value))
         for batch in batches:
             got = [counter.text(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], names=["doc_id", "n_tokens", "score"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent
+from .common import Recent, held
 
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 6_000
@@ -31,7 +31,7 @@ MAX_FEATURES = 4_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 SPACE = 1 << 22
-CACHE = 150_000
+CACHE = 80_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -53,6 +53,10 @@ class Model:
     weights: dict[int, float]
     bias: float
 
+    @property
+    def mark(self) -> int:
+        return hash((self.bias, *sorted(self.weights.items())))
+
     def score(self, words: set[bytes], known: Recent) -> float:
         """The score of a text with these words; ``known`` gives a word's features that have weights."""
         got = {x for w in words for x in known[w]}
@@ -63,15 +67,9 @@ class Model:
         return Recent(lambda w: tuple(x for x in parts_of(w) if x in self.weights), CACHE)
 
 
-_TABLES: dict[int, Recent] = {}
-
-
 def table_of(shared) -> Recent:
-    """A worker's table for a broadcast model, kept between tasks."""
-    if id(shared.value) not in _TABLES:
-        _TABLES.clear()
-        _TABLES[id(shared.value)] = shared.value.table()
-    return _TABLES[id(shared.value)]
+    """A worker's table for a broadcast model."""
+    return held(("toxicity", shared.value.mark), shared.value.table)
 
 
 def _features(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
