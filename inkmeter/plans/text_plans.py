@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import normalize as N
 from .base import round6, table
@@ -34,21 +33,66 @@ def prose_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", N.prose_length(F.col("text")).alias("prose"))
 
 
+#: A word in more titles than this is searched by word groups, not by pairs; both ways are exact.
+COMMON = 50
+#: Titles with more common words than this are paired after all: their word groups are too many.
+WIDE = 12
+
+
 def title_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each page title the page whose title shares most words, by overlap then Dice, at least a quarter.
+    """For each page title the page whose title shares most words, by overlap then Dice, at least a quarter."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]{3,}"), F.lit(0))))
+    return best_matches(page_titles(spark, sf_dir).select("page_id", words.alias("w")))
+
+
+def best_matches(titles: DataFrame, common: int = COMMON, wide: int = WIDE) -> DataFrame:
+    """page_id, other, shared, overlap, dice from the distinct words (sorted) of each title (page_id, w).
 
-    Candidates come from shared words that fewer than 50 titles hold; titles
-    with only commoner words are compared by their whole key alone.
+    Pages with the same words match each other wholly. Of other titles each
+    word set is searched once: through words of few sets by pairs, scored over
+    all words; through common words by every group of them that a set holds,
+    which keeps its two shortest sets, so no pair of sets is made. ``common``
+    and ``wide`` change the cost only. Titles without words match nothing.
     """
-    titles = page_titles(spark, sf_dir).select("page_id", F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("w"))
-    words = titles.select("page_id", F.explode("w").alias("word"), F.size("w").alias("n"))
-    rare = words.groupBy("word").agg(F.count("*").alias("df")).where("df between 2 and 49").select("word")
-    words = words.join(rare, "word")
-    other = words.select("word", F.col("page_id").alias("other"), F.col("n").alias("m"))
-    pairs = words.join(other, "word").where("page_id <> other").groupBy("page_id", "other", "n", "m").agg(F.count("*").alias("shared"))
-    scored = pairs.withColumn("overlap", F.col("shared") / F.col("n")).withColumn("dice", 2 * F.col("shared") / (F.col("n") + F.col("m"))).where("overlap >= 0.25")
-    best = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("overlap"), F.desc("dice"), "other"))
-    return scored.withColumn("r", best).where("r = 1").select("page_id", "other", "shared", round6(F.col("overlap")).alias("overlap"), round6(F.col("dice")).alias("dice"))
+    pages = titles.where(F.size("w") > 0)
+    sets = pages.groupBy("w").agg(F.min("page_id").alias("id"), F.count("*").alias("pages")).withColumn("n", F.size("w"))
+    by_word = sets.select("id", "n", F.explode("w").alias("word"))
+    df = by_word.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    held = by_word.join(df, "word")
+
+    whole = pages.join(sets.where("pages > 1"), "w")
+    second = whole.where("page_id <> id").groupBy("id").agg(F.min("page_id").alias("second"))
+    whole = whole.join(second, "id").select("page_id", F.when(F.col("page_id") == F.col("id"), F.col("second")).otherwise(F.col("id")).alias("other"), F.col("n").alias("shared"), "n", F.col("n").alias("m"))
+
+    alone = sets.where("pages = 1").select("id")
+    often = held.where(F.col("df") > common).groupBy("id", "n").agg(F.array_sort(F.collect_list("word")).alias("c"))
+    widest = often.where(F.size("c") > wide).select("id")
+    rare, hot = held.where(F.col("df") <= common), held.where(F.col("df") > common)
+    linked = _pairs(rare, rare).union(_pairs(hot.join(widest, "id", "left_semi"), hot)).union(_pairs(hot, hot.join(widest, "id", "left_semi")))
+    linked = linked.distinct().join(alone, "id", "left_semi")
+    mine, theirs = sets.select("id", "w", "n"), sets.select(F.col("id").alias("other"), F.col("w").alias("v"), F.col("n").alias("m"))
+    near = linked.join(mine, "id").join(theirs, "other").select(F.col("id").alias("page_id"), "other", F.size(F.array_intersect("w", "v")).alias("shared"), "n", "m")
+
+    taken = F.filter(F.transform("c", lambda x, i: F.when(F.getbit(F.col("mask"), i) == 1, x)), lambda x: x.isNotNull())
+    groups = often.where(F.size("c") <= wide).withColumn("mask", F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(c)) - 1"))))
+    groups = groups.select("id", F.bit_count("mask").alias("shared"), F.concat_ws(" ", taken).alias("key"), F.struct(F.col("n").alias("m"), F.col("id").alias("other")).alias("at"))
+    first = groups.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("sets")).where("sets > 1")
+    met = groups.join(first, "key").withColumn("own", F.col("first.other") == F.col("id"))
+    next_ = met.where("not own").groupBy("key").agg(F.min("at").alias("first"))
+    got = met.where("not own").select("id", "shared", "first").union(met.where("own").select("id", "shared", "key").join(next_, "key").select("id", "shared", "first"))
+    far = got.join(alone, "id", "left_semi").groupBy("id").agg(F.min(F.struct((-F.col("shared")).alias("k"), "first")).alias("b"))
+    far = far.join(mine.select("id", "n"), "id").select(F.col("id").alias("page_id"), F.col("b.first.other").alias("other"), (-F.col("b.k")).alias("shared"), "n", F.col("b.first.m").alias("m"))
+
+    scored = near.unionByName(far).where("4 * shared >= n")
+    order = F.struct((-F.col("shared")).alias("k"), "m", "other", "n")
+    best = whole.unionByName(scored.groupBy("page_id").agg(F.min(order).alias("b")).select("page_id", "b.other", (-F.col("b.k")).alias("shared"), "b.n", "b.m"))
+    shared = F.col("shared").cast("long")
+    return best.select("page_id", "other", shared.alias("shared"), round6(shared / F.col("n")).alias("overlap"), round6(2 * shared / (F.col("n") + F.col("m"))).alias("dice"))
+
+
+def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, other): different sets that hold a word of both sides."""
+    return a.select("id", "word").join(b.select(F.col("id").alias("other"), "word"), "word").where("id <> other").select("id", "other")
 
 
 SQUEEZE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"

@@ -44,3 +44,20 @@ def test_partitioning_does_not_matter(spark, sf_dir):
     base = texts(spark, sf_dir)
     one, many = (rows(marker_plans._rates(base.repartition(n), marker_plans.SIMPLE).toPandas()) for n in (1, 17))
     assert one == many
+
+
+@pytest.mark.parametrize("common, wide", [(50, 12), (3, 12), (3, 1), (0, 12)])
+def test_title_match_equals_brute_force(spark, common, wide):
+    from inkmeter.plans import text_plans
+
+    hot = [["the", "report"] for _ in range(60)] + [["a%d" % (i % 40), "the", "on%d" % (i % 7), "for%d" % (i % 3)] for i in range(70)]
+    titles = [(i, sorted(set(w))) for i, w in enumerate([*hot, ["alone"], [], ["the"], ["the", "report", "for1", "x1", "x2"]])]
+    want = {}
+    for i, w in titles:
+        found = [(-len({*w} & {*v}), len(v), j) for j, v in titles if j != i and w and 4 * len({*w} & {*v}) >= len(w)]
+        if found:
+            k, m, j = min(found)
+            want[i] = (j, -k, round(-k / len(w), 6), round(-2 * k / (len(w) + m), 6))
+    got = text_plans.best_matches(spark.createDataFrame(titles, "page_id long, w array<string>"), common, wide)
+    assert {r.page_id: tuple(r)[1:] for r in got.collect()} == want
+    assert want[0] == (1, 2, 1.0, 1.0)
