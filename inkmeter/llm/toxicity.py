@@ -41,11 +41,20 @@ def words_of(text: str | None) -> set[bytes]:
     return set((text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
+def _parts(word: bytes):
+    marked = b"^" + word + b"$"
+    yield zlib.crc32(marked) % SPACE
+    for n in (4, 5, 6):
+        for i in range(len(marked) - n + 1):
+            yield zlib.crc32(marked[i : i + n]) % SPACE
+
+
 def parts_of(word: bytes) -> set[int]:
-    """A word's features, hashed: the word itself and its runs of 4 to 6 bytes, edges marked."""
-    marked = b"^" + word[:40] + b"$"
-    found = {marked} | {marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
-    return {zlib.crc32(x) % SPACE for x in found}
+    """A word's features, hashed: the word itself and its runs of 4 to 6 bytes, edges marked.
+
+    Of a word of any length all runs count; text without blanks is one word.
+    """
+    return set(_parts(word))
 
 
 @dataclass
@@ -64,7 +73,7 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -30 else 0.0
 
     def table(self) -> Recent:
-        return Recent(lambda w: tuple(x for x in parts_of(w) if x in self.weights), CACHE)
+        return Recent(lambda w: tuple({x for x in _parts(w) if x in self.weights}), CACHE)
 
 
 def table_of(shared) -> Recent:

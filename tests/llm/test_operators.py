@@ -262,6 +262,17 @@ def test_toxicity(spark, empty):
     assert toxicity.score_documents(empty, toxicity.train(empty, lab.limit(0))).count() == 0
 
 
+def test_toxicity_reads_whole_words():
+    term, filler = "毒性語句".encode(), "あいうえおかきくけこさしすせそ".encode()
+    inner = toxicity.parts_of(b"xx" + term + b"xx")
+    for word in (filler + b"xx" + term + b"xx" + filler, filler * 2000 + b"xx" + term + b"xx"):
+        assert len(inner & toxicity.parts_of(word)) > 30
+    weights = {x: 1.0 for x in inner - toxicity.parts_of(filler)}
+    model = toxicity.Model(weights, -10.0)
+    late = toxicity.words_of((filler * 20 + b"xx" + term + b"xx" + filler).decode())
+    assert model.score(late, model.table()) > 0.9 > 0.1 > model.score({filler * 20}, model.table())
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((300, 64))
