@@ -24,3 +24,22 @@ def containment(rows: DataFrame, pool: DataFrame, n: int, *key: str) -> DataFram
 def unique_grams(rows: DataFrame, n: int) -> DataFrame:
     """gram, id: the grams that exactly one text holds."""
     return exploded(rows, n, "id").groupBy("gram").agg(F.count("*").alias("texts"), F.min("id").alias("id")).where("texts = 1").select("gram", "id")
+
+
+def guarded(rows: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
+    """id of the texts (id, doc, text) that would show a person's words.
+
+    A text shares 5 words in a row with the person's text (doc, text) of its own
+    document, or 8 with any person's text or title, or repeats the title
+    (doc, title) of its document where that has 3 words. Null docs have neither.
+    """
+    own = exploded(rows, 5, "id", "doc").join(exploded(people, 5, "doc"), ["doc", "gram"], "left_semi").select("id")
+    said = people.select("text").union(titles.select("title"))
+    anyone = exploded(rows, 8, "id").join(exploded(said, 8).distinct(), "gram", "left_semi").select("id")
+    named = titles.select("doc", gram_words(F.col("title")).alias("t")).where(F.size("t") >= 3)
+    repeats = F.contains(_phrase(gram_words(F.col("text"))), _phrase(F.col("t")))
+    return own.union(anyone).union(rows.join(named, "doc").where(repeats).select("id")).distinct()
+
+
+def _phrase(words):
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))

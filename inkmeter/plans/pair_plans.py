@@ -166,10 +166,14 @@ u AS (SELECT gram, min(id) AS id FROM d8 GROUP BY gram HAVING count(*) = 1) SELE
 
 
 def text_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that must not be shown: an 8-gram of theirs is in the benchmark."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    pool = overlap.exploded(table(spark, sf_dir, "benchmark"), 8).select("gram").distinct()
-    return overlap.exploded(docs, 8, "id").join(pool, "gram", "left_semi").select("id").distinct()
+    """Documents that must not be shown for a person's words, the benchmark's texts being the persons'.
+
+    The tables name neither a document's source text nor its title, so of the
+    guard's three rules only that of 8 words can hold here.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("doc"), "text")
+    people = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("doc"), "text")
+    return overlap.guarded(docs, people, people.select("doc", F.col("text").alias("title")).limit(0))
 
 
 GUARD_SQL = f"""WITH {GRAMS_SQL}, d8 AS (SELECT id, unnest({GRAM_SQL.format(n=8)}) AS gram FROM dw), b8 AS (SELECT DISTINCT unnest({GRAM_SQL.format(n=8)}) AS gram FROM bw)

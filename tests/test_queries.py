@@ -61,3 +61,16 @@ def test_title_match_equals_brute_force(spark, common, wide):
     got = text_plans.best_matches(spark.createDataFrame(titles, "page_id long, w array<string>"), common, wide)
     assert {r.page_id: tuple(r)[1:] for r in got.collect()} == want
     assert want[0] == (1, 2, 1.0, 1.0)
+
+
+def test_guard_has_all_three_rules(spark):
+    from inkmeter.operators import overlap
+
+    people = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "red green blue black white"), (3, "x")], "doc long, text string")
+    titles = spark.createDataFrame([(1, "Need advice"), (2, "My old cat"), (3, "a b c d e f g h")], "doc long, title string")
+    texts = [
+        (10, 1, "so two three four five six it is"), (11, 2, "so two three four five six it is"), (12, 2, "here is my old, cat again"), (13, 1, "here is my old cat again"),
+        (14, 1, "need advice"), (15, 2, "two three four five six seven eight nine"), (16, None, "A b c d e f g h"), (17, 2, "my old cats"), (18, None, None),
+    ]
+    got = overlap.guarded(spark.createDataFrame(texts, "id long, doc long, text string"), people, titles)
+    assert sorted(r.id for r in got.collect()) == [10, 12, 15, 16]
