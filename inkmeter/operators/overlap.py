@@ -26,6 +26,15 @@ def unique_grams(rows: DataFrame, n: int) -> DataFrame:
     return exploded(rows, n, "id").groupBy("gram").agg(F.count("*").alias("texts"), F.min("id").alias("id")).where("texts = 1").select("gram", "id")
 
 
+def among(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """id, grams, shared, containment: the share of a text's grams that another text of its key holds.
+
+    A text's own grams count once, so what two texts hold is what others hold.
+    """
+    pool = exploded(rows, n, *key).groupBy(*key, "gram").agg(F.count("*").alias("texts")).where("texts > 1")
+    return containment(rows, pool, n, *key)
+
+
 def guarded(rows: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
     """id of the texts (id, doc, text) that would show a person's words.
 

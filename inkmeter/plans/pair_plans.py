@@ -141,10 +141,9 @@ SELECT dw.id, coalesce(grams, 0) AS grams, coalesce(shared, 0) AS shared, round(
 
 
 def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each document's grams that the pool of its source's other third holds."""
+    """Share of each document's grams that the other documents of its source hold."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
-    pool = overlap.exploded(docs.where("id % 3 = 0"), N, "source")
-    got = overlap.containment(docs.where("id % 3 = 1"), pool, N, "source")
+    got = overlap.among(docs, N, "source")
     return got.select("id", "grams", "shared", round6(F.col("containment")).alias("containment"))
 
 

@@ -74,3 +74,10 @@ def test_guard_has_all_three_rules(spark):
     ]
     got = overlap.guarded(spark.createDataFrame(texts, "id long, doc long, text string"), people, titles)
     assert sorted(r.id for r in got.collect()) == [10, 12, 15, 16]
+
+
+def test_containment_scores_every_document(spark, tmp_path):
+    texts = [(2, "s", "a b c d e f"), (5, "s", "a b c d e"), (8, "s", "u v w x y z"), (3, "t", "a b c d e"), (9, "t", "a b")]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: (r.grams, r.shared, r.containment) for r in entry.queries()["containment_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {2: (2, 1, 0.5), 5: (1, 1, 1.0), 8: (2, 0, 0.0), 3: (1, 0, 0.0), 9: (0, 0, 0.0)}
