@@ -117,7 +117,10 @@ def cleaning(rows: DataFrame, reasons: list[tuple[str, object]], by: list[str])
 
 
 def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven ordered steps over documents and labels, with what each drops per language."""
+    """Five ordered steps over documents and labels, with what each drops per language.
+
+    Truncated, task-talk and remembered texts are not dropped here.
+    """
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     firsts = docs.groupBy("text").agg(F.min("doc_id").alias("first"))
     rows = docs.join(firsts, "text")
