@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -24,7 +26,8 @@ def let(value: Column, body) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) one is made.
+    Only on one machine (a local master, as in tests) is a folder made where
+    the session names none; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -33,10 +36,26 @@ def shared_dir(spark: SparkSession) -> str:
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inkmeter-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+class Table:
+    """A DataFrame written once as Parquet in the shared folder; ``drop`` deletes it."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder.
 
@@ -74,15 +93,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 _HELD: dict = {}
 
 
-def held(key, make):
+def give_back() -> None:
+    """Hand a worker's freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
+def held(key, make=None):
     """A Python worker's tables for ``key``, kept between tasks.
 
     Workers serve one operator after another; only the last one's tables stay,
-    so that memory does not add up along a pipeline.
+    so that memory does not add up along a pipeline. An operator without tables
+    names itself to drop the last one's.
     """
     if key not in _HELD:
         _HELD.clear()
-        _HELD[key] = make()
+        give_back()
+        _HELD[key] = make() if make else None
     return _HELD[key]
 
 
@@ -112,35 +143,40 @@ class Recent(dict):
 CHUNK = 1 << 16
 
 
-def count_sketch(df: DataFrame, hashes, bits: int) -> np.ndarray:
-    """Occurrences of hashes, counted in ``2**bits`` cells over the whole input.
+class Cells:
+    """A task's counts of hashes in ``2**bits`` cells, sent in compressed chunks."""
 
-    ``hashes(batch)`` yields uint64 arrays. A task adds up its own cells and
-    sends them in chunks; chunks are summed in a stream, so that no group is
-    ever held. The result has a fixed size (4 bytes a cell) and may be broadcast.
-    """
-    size = 1 << bits
-    chunk = min(CHUNK, size)
+    def __init__(self, bits: int):
+        self.cells, self.held, self.n = np.zeros(1 << bits, np.uint32), [], 0
 
-    def count(batches):
-        cells, held, n = np.zeros(size, np.uint32), [], 0
-        for batch in batches:
-            for h in hashes(batch):
-                held.append((h & np.uint64(size - 1)).astype(np.uint32))
-                n += len(h)
-                if n >= 1 << 20:
-                    add(cells, held)
-                    held, n = [], 0
-        add(cells, held)
-        for k in range(size // chunk):
-            part = cells[k * chunk : (k + 1) * chunk]
+    def add(self, h: np.ndarray) -> None:
+        self.held.append((h & np.uint64(len(self.cells) - 1)).astype(np.uint32))
+        self.n += len(h)
+        if self.n >= 1 << 20:
+            self._settle()
+
+    def _settle(self) -> None:
+        if self.held:
+            at, times = np.unique(np.concatenate(self.held), return_counts=True)
+            self.cells[at] += times.astype(np.uint32)
+        self.held, self.n = [], 0
+
+    def chunks(self):
+        """(chunk, compressed counts) of the chunks that hold any."""
+        self._settle()
+        size = min(CHUNK, len(self.cells))
+        for k in range(len(self.cells) // size):
+            part = self.cells[k * size : (k + 1) * size]
             if part.any():
-                yield _chunk(k, part)
+                yield k, zlib.compress(part.tobytes(), 1)
+
+
+CELLS = "k int, cells binary"
 
-    def add(cells, held):
-        if held:
-            at, times = np.unique(np.concatenate(held), return_counts=True)
-            cells[at] += times.astype(np.uint32)
+
+def summed(sent: DataFrame, bits: int) -> np.ndarray:
+    """The cells that tasks sent as chunks (k, cells), added up; 4 bytes a cell whatever the input."""
+    size = min(CHUNK, 1 << bits)
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
@@ -149,27 +185,43 @@ def count_sketch(df: DataFrame, hashes, bits: int) -> np.ndarray:
                 got = np.frombuffer(zlib.decompress(part), np.uint32).astype(np.int64)
                 sums[k] = sums[k] + got if k in sums else got
         for k, got in sums.items():
-            yield _chunk(k, got)
+            yield _chunks([(k, zlib.compress(np.minimum(got, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1))])
+
+    out = np.zeros(1 << bits, np.uint32)
+    for k, part in sent.select("k", "cells").repartition(16, "k").mapInArrow(total, CELLS).collect():
+        out[k * size : (k + 1) * size] = np.frombuffer(zlib.decompress(part), np.uint32)
+    return out
+
+
+def _chunks(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in rows], pa.int32()), "cells": pa.array([x for _, x in rows], pa.binary())})
 
-    kind = "k int, cells binary"
-    rows = df.mapInArrow(count, kind).repartition(16, "k").mapInArrow(total, kind).collect()
-    cells = np.zeros(size, np.uint32)
-    for k, part in rows:
-        cells[k * chunk : (k + 1) * chunk] = np.frombuffer(zlib.decompress(part), np.uint32)
-    return cells
 
+def count_sketch(df: DataFrame, hashes, bits: int) -> np.ndarray:
+    """Occurrences of hashes, counted in ``2**bits`` cells over the whole input.
+
+    ``hashes(batch)`` yields uint64 arrays. A task adds up its own cells and
+    sends them in chunks; chunks are summed in a stream, so that no group is
+    ever held. The result has a fixed size (4 bytes a cell) and may be broadcast.
+    """
+
+    def count(batches):
+        cells = Cells(bits)
+        for batch in batches:
+            for h in hashes(batch):
+                cells.add(h)
+        for row in cells.chunks():
+            yield _chunks([row])
 
-def _chunk(k: int, counts: np.ndarray) -> pa.RecordBatch:
-    packed = zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
-    return pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "cells": pa.array([packed], pa.binary())})
+    return summed(df.mapInArrow(count, CELLS), bits)
 
 
-def seen_twice(df: DataFrame, hashes, bits: int) -> np.ndarray:
-    """Bits (packed) of the ``2**bits`` cells that at least two hashes of the input fall in.
+def seen(df: DataFrame, hashes, bits: int) -> np.ndarray:
+    """Bits (packed) of the ``2**bits`` cells that a hash of the input falls in.
 
-    A cell that is not set holds at most one. Tasks send the sorted cells they
-    met; each chunk of cells is counted where its parts meet. The result has
-    ``2**bits / 8`` bytes whatever the input and may be broadcast.
+    Tasks send the sorted cells they met; each chunk of cells is merged where
+    its parts meet. The result has ``2**bits / 8`` bytes whatever the input and
+    may be broadcast.
     """
     size, chunk = 1 << bits, 1 << min(bits, 20)
 
@@ -180,37 +232,37 @@ def seen_twice(df: DataFrame, hashes, bits: int) -> np.ndarray:
                 held.append((h & np.uint64(size - 1)).astype(np.uint32))
                 n += len(h)
             if n >= 1 << 20:
-                yield from sent(np.sort(np.concatenate(held)))
+                yield from sent(np.unique(np.concatenate(held)))
                 held, n = [], 0
         if held:
-            yield from sent(np.sort(np.concatenate(held)))
+            yield from sent(np.unique(np.concatenate(held)))
 
     def sent(cells):
         edges = np.searchsorted(cells, np.arange(0, size + 1, chunk))
         for k in np.flatnonzero(np.diff(edges)):
             part = cells[edges[k] : edges[k + 1]]
             steps = np.diff(part, prepend=np.uint32(k * chunk)).astype(np.uint32)
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "cells": pa.array([zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)], pa.binary())})
+            yield _chunks([(int(k), zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))])
 
     def merged(batches):
-        counts: dict[int, np.ndarray] = {}
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column("k").to_pylist(), batch.column("cells").to_pylist(), strict=True):
                 steps = np.ascontiguousarray(np.frombuffer(zlib.decompress(part), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                at = np.bincount(np.cumsum(steps, dtype=np.int64), minlength=chunk)
-                counts[k] = np.minimum(at + counts[k], 2).astype(np.uint8) if k in counts else np.minimum(at, 2).astype(np.uint8)
-        for k, n in counts.items():
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "cells": pa.array([zlib.compress(np.packbits(n >= 2).tobytes(), 1)], pa.binary())})
+                if k not in found:
+                    found[k] = np.zeros(chunk, np.bool_)
+                found[k][np.cumsum(steps, dtype=np.int64)] = True
+        for k, on in found.items():
+            yield _chunks([(k, zlib.compress(np.packbits(on).tobytes(), 1))])
 
-    kind = "k int, cells binary"
     out = np.zeros(size // 8, np.uint8)
-    for k, part in df.mapInArrow(met, kind).repartition(32, "k").mapInArrow(merged, kind).collect():
+    for k, part in df.mapInArrow(met, CELLS).repartition(32, "k").mapInArrow(merged, CELLS).collect():
         out[k * chunk // 8 : (k + 1) * chunk // 8] = np.frombuffer(zlib.decompress(part), np.uint8)
     return out
 
 
 def in_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether each hash's cell is set in a result of ``seen_twice``."""
+    """Whether each hash's cell is set in a result of ``seen``."""
     cell = (h & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
     return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
 
@@ -229,9 +281,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 18)
         for name, base in (("up", _R), ("down", pow(_R, -1, 1 << 64))):
-            row = np.full(size, base, np.uint64)
+            row = np.full(n, base, np.uint64)
             row[0] = 1
             _POWERS[name] = np.cumprod(row)
     return _POWERS["up"], _POWERS["down"]
@@ -240,38 +291,52 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(data: bytes, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of each blank-separated word of ``data``.
 
-    Works on pieces of about ``step`` bytes cut at blanks, so that memory
-    follows the piece and not the text.
+    Works on pieces of ``step`` bytes, so that memory follows the piece and not
+    the text, nor its longest word: a word cut by a piece's end is carried on.
+    The hash is a polynomial over the bytes modulo 2**64, scrambled with the
+    length; texts made for it can collide, prose does not.
     """
-    starts, found, at = [], [], 0
-    while at < len(data):
-        to = data.find(b" ", at + step)
-        to = len(data) if to < 0 else to + 1
-        piece = np.frombuffer(data, np.uint8, to - at, at)
+    starts, found, open_ = [], [], None  # a word under way: start, length, sum
+    up, down = _powers(step + 1)
+    for at in range(0, len(data), step):
+        piece = np.frombuffer(data, np.uint8, min(step, len(data) - at), at)
         word = np.concatenate(([False], piece != 32, [False]))
         edge = np.flatnonzero(word[1:] != word[:-1])
         a, b = edge[::2], edge[1::2]
-        up, down = _powers(len(piece) + 1)
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(piece * up[: len(piece)], out=sums[1:])
-        found.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
-        starts.append(a + at)
-        at = to
+        values, sizes, begin = (sums[b] - sums[a]) * down[a], (b - a).astype(np.int64), a + at
+        if open_:
+            first, size, total = open_
+            if len(a) and a[0] == 0:
+                values[0] = np.uint64((total + pow(_R, size, 1 << 64) * int(values[0])) & _MASK)
+                sizes[0] += size
+                begin[0] = first
+            else:
+                values, sizes, begin = np.append(np.uint64(total), values), np.append(size, sizes), np.append(first, begin)
+            open_ = None
+        if len(b) and b[-1] == len(piece) and at + len(piece) < len(data):
+            open_ = int(begin[-1]), int(sizes[-1]), int(values[-1])
+            values, sizes, begin = values[:-1], sizes[:-1], begin[:-1]
+        found.append(mix(values + sizes.astype(np.uint64)))
+        starts.append(begin)
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(starts), np.concatenate(found)
 
 
-def shingle_sets(texts: list, k: int):
+def shingle_sets(texts, k: int):
     """The sorted distinct hashes of each text's ``k``-word shingles.
 
-    A-Z are lower-cased; words are what ASCII blanks separate. Fewer than ``k``
-    words give one shingle, no words (or null) none. Texts are hashed together
-    in batches of about 1 MB; a longer one alone.
+    ``texts`` is a list or an Arrow column. A-Z are lower-cased; words are what
+    ASCII blanks separate. Fewer than ``k`` words give one shingle, no words
+    (or null) none. Texts are hashed together in batches of about 1 MB; a
+    longer one alone.
     """
     with np.errstate(over="ignore"):
         batch, size = [], 0
         for text in texts:
+            text = text if text is None or isinstance(text, str) else text.as_py()
             batch.append((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
             size += len(batch[-1])
             if size >= 1 << 20:
