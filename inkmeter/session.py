@@ -12,10 +12,12 @@ from pyspark.sql import SparkSession
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers, once per Spark application.
 
-    Texts go to the workers in batches of at most 1,000 rows, which bounds their memory.
+    Texts go to the workers in batches of at most 1,000 rows and about 4 MB,
+    which bounds their memory.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     sc = spark.sparkContext
     if not getattr(sc, "_inkmeter_shipped", False):
         root = os.path.dirname(os.path.abspath(__file__))
