@@ -2,36 +2,61 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from inkmeter.llm import bpe, mixing, ngram_join, secret_scan, toxicity
 from inkmeter.llm.common import shared_dir
+from inkmeter.session import ship
 
 
+def stage(function):
+    """A stage (spark, docs, sf_dir) that has the package at its workers and bounded batches.
+
+    All stages take rows as they come: texts may be null, empty or long, rows
+    repeated, ids null, the table empty, and columns beside those of documents
+    stay and may have any name.
+    """
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return function(ship(spark), docs, sf_dir)
+
+    return run
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity model rejects."""
+    """Drops the documents that the toxicity model rejects. Null and empty texts score as texts without words and stay."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (five-word shingles, 0.8)."""
+    """Keeps the smallest doc_id of each group of near copies (five-word shingles, 0.8).
+
+    Texts without words are nobody's copy; rows with a null doc_id stay.
+    """
     return ngram_join.deduplicated(docs)
 
 
+@stage
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; keeps every document."""
+    """Replaces secrets in the texts; keeps every document. Null texts stay null."""
     return secret_scan.redacted(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the sources down to the production weights."""
+    """Cuts the sources down to the production weights. Null sources and languages are names of their own."""
     return mixing.mixed_once(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document; null and empty texts have none."""
     import public_tokenizers
 
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ("ids", "decoded_sha256"))
@@ -53,8 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents, each written as Parquet and read again."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
+    for number, (name, function) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        function(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -21,6 +21,7 @@ import json
 import unicodedata
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ from .common import Recent, held
 
 END = "</w>"
 CACHE = 80_000
+#: Tokens of one output batch, about.
+SENT = 1 << 19
 #: The white space and the word pattern of the tokenizer file.
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -131,12 +134,14 @@ class Encoder:
         self.final = [tables.symbols[c + END] for c in chars]
         self.words = regex.compile(WORDS)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(tables.special, key=len, reverse=True))) + ")") if tables.special else None
-        self.parents = {(a, b): tables.base + i for i, (a, b) in enumerate(zip(tables.halves[::2], tables.halves[1::2], strict=True))}
+        self.wide = len(tables.names) + 1  # a pair of tokens is one number
+        self.parents = {a * self.wide + b: tables.base + i for i, (a, b) in enumerate(zip(tables.halves[::2], tables.halves[1::2], strict=True))}
         self.sides: dict[int, list[int]] = {}
-        self.fit: dict[tuple[int, int], bool] = {}
-        self.ends: dict[int, list[tuple[int, int]]] = {-1: [], 0: []}
-        self.words_known = Recent(self._named, CACHE)
-        self.chunks = Recent(self._chunk, CACHE)
+        self.fit: dict[int, bool] = {}
+        self.ends: list[list[tuple[int, int]] | None] = [None] * len(tables.size)
+        self.ends[0] = []
+        self.name = {str(i): t for i, t in zip(tables.ids, tables.names, strict=True)} | {str(i): t for t, i in tables.special.items()}
+        self.known = Recent(self._chunk, CACHE)
 
     def _spine(self, token: int, side: int) -> list[int]:
         """What stood at one edge of ``token`` while it grew, oldest first."""
@@ -157,27 +162,30 @@ class Encoder:
         a merge across the border comes due before the next one on either side;
         of equal merges the one further left goes first.
         """
-        if (known := self.fit.get((left, right))) is not None:
+        pair = left * self.wide + right
+        if (known := self.fit.get(pair)) is not None:
             return known
         a, b, i, j, never, ok = self._spine(left, 1), self._spine(right, 0), 0, 0, len(self.t.names), True
         while True:
             due_a = a[i + 1] if i + 1 < len(a) else never
             due_b = b[j + 1] if j + 1 < len(b) else never
-            across = self.parents.get((a[i], b[j]), never)
+            across = self.parents.get(a[i] * self.wide + b[j], never)
             if across < due_a and across <= due_b and across < never:
                 ok = False
                 break
             if due_a == never and due_b == never:
                 break
             i, j = i + (due_a <= due_b), j + (due_b <= due_a)
-        if len(self.fit) > 300_000:
+        if len(self.fit) > 200_000:
             self.fit.clear()
-        self.fit[left, right] = ok
+        self.fit[pair] = ok
         return ok
 
     def _ends(self, state: int) -> list[tuple[int, int]]:
         """(length, token) of the tokens that end where a state is wholly matched, longest first."""
-        if (known := self.ends.get(state)) is None:
+        if state < 0:
+            return []
+        if (known := self.ends[state]) is None:
             t = self.t
             known = ([(t.size[state], t.token[state])] if t.token[state] >= 0 else []) + self._ends(t.up[state])
             self.ends[state] = known
@@ -186,7 +194,7 @@ class Encoder:
     def word(self, text: str) -> list[int]:
         """The tokens (by age) of one pre-token."""
         raw = text.encode("utf-8", "surrogatepass")
-        inner, moves, link, size, ends, fit = self.inner, self.t.moves.get, self.t.link, self.t.size, self.ends, self.fit
+        inner, moves, link, size, ends, fit, wide = self.inner, self.t.moves.get, self.t.link, self.t.size, self.ends, self.fit, self.wide
         spelled = [inner[x] for x in raw]
         spelled[-1] = self.final[raw[-1]]
         last, back, state, length, end = [-1], [-1], 0, 0, 0
@@ -197,11 +205,11 @@ class Encoder:
                 length = size[state]
             state, length = to, length + 1
             at = state if length == size[state] else link[state]
-            for n, x in ends.get(at) or self._ends(at):
+            for n, x in ends[at] or self._ends(at):
                 if n == end:
                     break
                 left = last[end - n]
-                ok = fit.get((left, x))
+                ok = fit.get(left * wide + x)
                 if ok is None:
                     ok = self.compatible(left, x)
                 if ok:
@@ -214,33 +222,35 @@ class Encoder:
             at = back[at]
         return out[::-1]
 
-    def _named(self, word: str) -> tuple[str, str]:
-        found = self.word(word)
-        return " ".join([str(self.t.ids[x]) for x in found]), " ".join([self.t.names[x] for x in found])
+    def _chunk(self, text: str) -> str:
+        """Ids, joined by a space, of text without white space.
 
-    def _chunk(self, text: str) -> tuple[str, str]:
-        """Ids and token strings, each joined by a space, of text without white space."""
-        found = [self.words_known[w] for w in self.words.findall(text)]
-        return found[0] if len(found) == 1 else (" ".join([x for x, _ in found]), " ".join([x for _, x in found]))
-
-    def encode(self, text: str | None) -> tuple[str, str]:
-        """Ids and decoded text. The decoded text is the token strings joined by
-        a space, for the file names no decoder."""
-        ids, names = [], []
-        for part in self.special.split(text or "") if self.special and "<|" in (text or "") else [text or ""]:
+        A word of a chunk is a chunk of its own, so one table knows both.
+        """
+        words = self.words.findall(text)
+        if len(words) == 1:
+            ids = self.t.ids
+            return " ".join([str(ids[x]) for x in self.word(text)])
+        return " ".join([self.known[w] for w in words])
+
+    def encode(self, text: str | None) -> str:
+        """The ids of a whole text, joined by a space."""
+        out = []
+        for part in self.special.split(text) if text and any(x in text for x in self.t.special) else [text or ""]:
             if part in self.t.special:
-                ids.append(str(self.t.special[part]))
-                names.append(part)
+                out.append(str(self.t.special[part]))
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             part = part.lower()
             odd = any(c in part for c in "\x1c\x1d\x1e\x1f")  # white space to str.split alone
             pieces = [x for x in regex.split(f"[{SPACE}]+", part) if x] if odd else part.split()
-            found = [self.chunks[x] for x in pieces]
-            ids += [x for x, _ in found]
-            names += [x for _, x in found]
-        return " ".join(ids), " ".join(names)
+            out += [self.known[x] for x in pieces]
+        return " ".join(out)
+
+    def decode(self, ids: str) -> str:
+        """The token strings joined by a space, for the file names no decoder."""
+        return " ".join([self.name[x] for x in ids.split()])
 
 
 def encoder(tables) -> Encoder:
@@ -266,23 +276,28 @@ def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("id
     kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     types = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     make = {
-        "ids": lambda i, d: [int(x) for x in i.split()],
+        "ids": lambda i, d: np.fromstring(i, np.int32, sep=" "),
         "decoded": lambda i, d: d,
         "ids_sha256": lambda i, d: hashlib.sha256(i.encode()).hexdigest(),
         "decoded_sha256": lambda i, d: hashlib.sha256(d.encode()).hexdigest(),
     }
+    told = any(x.startswith("decoded") for x in outputs)
     tables = compiled(docs.sparkSession, path)
 
     def run(batches):
         enc = encoder(tables)
         for batch in batches:
-            n, cols = [], {x: [] for x in outputs}
-            for text in batch.column("text"):
-                ids, decoded = enc.encode(text.as_py())
+            begin, n, held_, cols = 0, [], 0, {x: [] for x in outputs}
+            for at, text in enumerate(batch.column("text"), 1):
+                ids = enc.encode(text.as_py())
+                decoded = enc.decode(ids) if told else None
                 n.append(ids.count(" ") + 1 if ids else 0)
+                held_ += n[-1]
                 for x in outputs:
                     cols[x].append(make[x](ids, decoded))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(cols[x], types[x]) for x in outputs)], names=["doc_id", "n_tokens", *outputs])
+                if held_ >= SENT or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin:at], pa.array(n, pa.int64()), *(pa.array(cols[x], types[x]) for x in outputs)], names=["doc_id", "n_tokens", *outputs])
+                    begin, n, held_, cols = at, [], 0, {x: [] for x in outputs}
 
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long" + "".join(f", {x} {kinds[x]}" for x in outputs))

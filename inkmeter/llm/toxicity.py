@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, held
+from .common import Recent, count_sketch, cut, held
 
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 6_000
@@ -31,7 +31,7 @@ MAX_FEATURES = 4_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 SPACE = 1 << 22
-CACHE = 80_000
+CACHE = 60_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -81,32 +81,31 @@ def table_of(shared) -> Recent:
     return held(("toxicity", shared.value.mark), shared.value.table)
 
 
-def _features(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The features whose frequency differs most between the two samples.
+def telling(k: np.ndarray, j: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The features whose frequency differs most between ``n`` positives and ``m`` unlabelled documents.
 
-    ``z`` compares document frequencies with a pooled variance; a feature also
-    has to be at least twice as frequent among the positives, which keeps out
-    word parts that only follow the length of the texts.
+    ``k`` and ``j`` count the documents of either side that have each feature.
+    ``z`` compares the frequencies with a pooled variance; a feature also has
+    to be at least twice as frequent among the positives, which keeps out word
+    parts that only follow the length of the texts.
     """
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
-    k, j = (np.bincount(np.concatenate(x) if x else np.zeros(0, np.int64), minlength=SPACE) for x in (positive, unlabelled))
+    n, m = max(1, n), max(1, m)
+    at = np.flatnonzero(k >= max(5, n / 200))
+    k, j = k[at].astype(np.int64), j[at].astype(np.int64)
     a, b, p = (k + 0.5) / (n + 1), (j + 0.5) / (m + 1), (k + j + 1) / (n + m + 2)
     z = (a - b) / np.sqrt(p * (1 - p) * (1 / n + 1 / m))
-    z[(k < max(5, n / 200)) | (a < 2 * b) | (z < 5)] = 0
+    z[(a < 2 * b) | (z < 5)] = 0
     order = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    return order[z[order] > 0]
+    return at[order[z[order] > 0]]
 
 
 class Sparse:
     """Documents by features, as the places of the ones; the last feature is always on."""
 
-    def __init__(self, docs: list[np.ndarray], names: np.ndarray):
-        at = np.full(SPACE, -1)
-        at[names] = np.arange(len(names))
-        cols = [at[x][at[x] >= 0] for x in docs]
-        self.shape = len(docs), len(names) + 1
-        self.rows = np.repeat(np.arange(len(docs)), [len(x) for x in cols])
-        self.cols = np.concatenate(cols) if cols else np.zeros(0, np.int64)
+    def __init__(self, cols: list[np.ndarray], width: int):
+        self.shape = len(cols), width + 1
+        self.rows = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
+        self.cols = np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, w[self.cols], self.shape[0]) + w[-1]
@@ -115,33 +114,63 @@ class Sparse:
         return np.append(np.bincount(self.cols, r[self.rows], self.shape[1])[:-1], r.sum()) / len(r)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 800, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Fit the non-negative risk on documents given as arrays of distinct features.
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def slope(p: Sparse, u: Sparse, w: np.ndarray, prior: float, decay: float) -> np.ndarray:
+    """The direction of a step down the non-negative risk."""
+    sp, su = sigmoid(p.times(w)), sigmoid(u.times(w))
+    dp, du = sp * (1 - sp), su * (1 - su)  # slopes of the sigmoid loss
+    as_negative = su.mean() - prior * sp.mean()
+    up_positive = -prior * p.mean_by_feature(dp)
+    negative = u.mean_by_feature(du) - prior * p.mean_by_feature(dp)
+    return (up_positive + negative if as_negative >= 0 else -negative) + decay * np.append(w[:-1], 0)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np.ndarray, prior: float, epochs: int = 800, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """Fit the non-negative risk on documents given as arrays of places in ``names``.
 
     Without positives, unlabelled text or telling features the model scores the
     prior. Empty documents are documents without features.
     """
     prior = min(max(prior, 1e-3), 0.5)
-    names = _features(positive, unlabelled)
-    if not len(names) or not unlabelled:
-        return Model({}, float(np.log(prior / (1 - prior))))
-    p, u = Sparse(positive, names), Sparse(unlabelled, names)
-    w = np.zeros(len(names) + 1)
-    w[-1] = np.log(prior / (1 - prior))
+    start = float(np.log(prior / (1 - prior)))
+    if not len(names) or not unlabelled or not positive:
+        return Model({}, start)
+    p, u = Sparse(positive, len(names)), Sparse(unlabelled, len(names))
+    w = np.append(np.zeros(len(names)), start)
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, epochs + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x.times(w), -30, 30))) for x in (p, u))
-        dp, du = sp * (1 - sp), su * (1 - su)  # slopes of the sigmoid loss
-        as_negative = su.mean() - prior * sp.mean()
-        up_positive = -prior * p.mean_by_feature(dp)
-        negative = u.mean_by_feature(du) - prior * p.mean_by_feature(dp)
-        grad = (up_positive + negative if as_negative >= 0 else -negative) + decay * np.append(w[:-1], 0)
+        grad = slope(p, u, w, prior, decay)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
         w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return Model({int(x): float(v) for x, v in zip(names, w[:-1], strict=True) if v}, float(w[-1]))
 
 
+def _parts_of_texts(texts):
+    for text in texts:
+        yield np.array(sorted({x for word in words_of(text.as_py()) for x in parts_of(word)}), np.int64)
+
+
+def _places(chosen: DataFrame, names: np.ndarray) -> DataFrame:
+    """doc_id, positive, unlabelled and the places in ``names`` of each document's features, at most all of them."""
+    order = np.argsort(names)
+    shared = chosen.sparkSession.sparkContext.broadcast((names[order], order))
+
+    def run(batches):
+        sorted_, at = shared.value
+        for batch in batches:
+            rows = []
+            for parts in _parts_of_texts(batch.column("text")):
+                spot = np.minimum(np.searchsorted(sorted_, parts), max(0, len(sorted_) - 1))
+                rows.append(at[spot[sorted_[spot] == parts]].astype(np.int32) if len(sorted_) else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "positive", "unlabelled")), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "positive", "unlabelled", "at"])
+
+    return chosen.mapInArrow(run, "doc_id long, positive boolean, unlabelled boolean, at array<int>")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the documents outside the held-out fold.
 
@@ -149,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     fold, whatever its label, is drawn from as unlabelled text, so that it holds
     the positives at their natural rate. The class prior is the share of toxic
     among the labelled documents outside the fold. Null doc_ids and labels are ignored;
-    of several labels of a document the largest counts.
+    of several labels of a document the largest counts, of several texts of a
+    doc_id the smallest. Features are found by the workers; to the driver come
+    counts by feature and, per document, the places of at most ``MAX_FEATURES``.
     """
     inside = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(inside & F.col("toxic").isNotNull())
@@ -163,14 +194,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         ids.orderBy(order, "doc_id").limit(MAX_UNLABELLED),
     ]
     wanted = [{r.doc_id for r in x.collect()} for x in chosen]
-    sample = docs.sparkSession.createDataFrame([(x,) for x in sorted(wanted[0] | wanted[1])], "doc_id long")
-    found: list[dict[int, np.ndarray]] = [{}, {}]
-    for r in docs.join(F.broadcast(sample), "doc_id", "left_semi").toLocalIterator():
-        parts = np.array(sorted({x for word in words_of(r.text) for x in parts_of(word)}), np.int32)
-        for side in (0, 1):
-            if r.doc_id in wanted[side]:
-                found[side][r.doc_id] = parts
-    return fit([x for _, x in sorted(found[0].items())], [x for _, x in sorted(found[1].items())], k / n if n else 0.1)
+    sample = docs.sparkSession.createDataFrame([(x, x in wanted[0], x in wanted[1]) for x in sorted(wanted[0] | wanted[1])], "doc_id long, positive boolean, unlabelled boolean")
+    texts = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "positive", "unlabelled").agg(F.min("text").alias("text"))
+    texts = cut(texts.repartition(32))
+    counts = [count_sketch(texts.where(side), lambda b: (x.astype(np.uint64) for x in _parts_of_texts(b.column("text"))), SPACE.bit_length() - 1) for side in ("positive", "unlabelled")]
+    names = telling(*counts, *(len(x) for x in wanted))
+    rows = sorted(_places(texts, names).collect())
+    return fit(*([np.array(r[3], np.int64) for r in rows if r[side]] for side in (1, 2)), names, k / n if n else 0.1)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
