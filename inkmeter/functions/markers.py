@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ TITLE_HEADING = r"^#{1,6}[ \t]+(?:[A-Z][a-z]+(?:[ \t]+|$)){2,}"
 UNIFORM_BELOW = 0.40
 # ---- end of the fixed values ----
 
+#: What every match of a countable marker holds, in lower case: one of the listed strings. A text
+#: without any of them has no match, which a search for a plain string tells sooner than the pattern.
+HOLDS = {
+    "delve": ["delv"], "tapestry": ["tapestr"], "moreover": ["moreover"], "furthermore": ["furthermore"], "crucial": ["crucial"], "realm": ["realm"], "showcase": ["showcas"], "underscore": ["underscor"],
+    "leverage": ["leverag"], "important_to_note": ["important ", "worth "], "in_todays": ["in today"], "not_only_but_also": ["not only"], "not_x_its_y": ["s not ", "isn"],
+    "dive_into": ["dive", "explore", "take a look"], "in_conclusion": ["in conclusion", "in sum", "to sum", "to conclude"], "em_dash": ["—", "–", "-"], "rule_of_three": [" and ", " or "],
+}
+#: The same as patterns, for markers whose plain strings most texts hold.
+NEAR = {"em_dash": r"—|--|[^\S\n][-–]\s", "rule_of_three": r", [\w ]+,? (?:and|or) \w"}
+
 
 @dataclass(frozen=True)
 class Marker:
@@ -64,6 +75,15 @@ class Marker:
     belief: bool = False
     open_ended: bool = False
 
+    def may(self, readable_: Column | str, lower: Column | str) -> Column:
+        """Whether a text can hold a match at all, from the readable text and its lower case."""
+        found = reduce(Column.__or__, (F.contains(lower, F.lit(x)) for x in HOLDS[self.id]))
+        return found & F.rlike(readable_, F.lit(java(NEAR[self.id]))) if self.id in NEAR else found
+
+    def counted(self, readable_: Column, lower: Column) -> Column:
+        """The count; the pattern runs only where it can match."""
+        return F.when(self.may(readable_, lower), F.regexp_count(readable_, F.lit(self.pattern)).cast("long")).otherwise(F.when(readable_.isNotNull(), F.lit(0).cast("long")))
+
 
 def readable(text: Column) -> Column:
     """The text as a reader sees it, without the marks for bold."""
@@ -77,7 +97,7 @@ def own_words(text: Column) -> Column:
 
 def _countable(id_: str, family: str, pattern: str, flags: str = "i", **more) -> Marker:
     made = java(pattern, flags)
-    return Marker(id_, family, lambda t: readable(t).rlike(made), lambda t: F.regexp_count(readable(t), F.lit(made)).cast("long"), made, **more)
+    return Marker(id_, family, lambda t: readable(t).rlike(made), lambda t: BY_ID[id_].counted(readable(t), F.lower(readable(t))), made, **more)
 
 
 def has_contraction(text: Column) -> Column:

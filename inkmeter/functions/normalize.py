@@ -91,41 +91,80 @@ def prose_length(text: Column) -> Column:
 
 
 _TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^>]*)>|<[^>]+>", re.S)
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("pre", "code")}
+_LINE_TAG = re.compile(r"<p\b[^>]*>|<br\s*/?>", re.I)
+
+
+def _own_words(html: str) -> str:
+    """``html`` without comments, quotations and closed code; what goes leaves a break or a blank.
+
+    A code element that is never closed is no element: what follows it stays.
+    """
+    out, quote, at, missing = [], 0, 0, set()
+    while m := _TAG.search(html, at):
+        if not quote:
+            out.append(html[at : m.start()])
+        at, name = m.end(), (m[2] or "").lower()
+        if name in _CLOSED and not m[1]:
+            end = None if name in missing else _CLOSED[name].search(html, at)
+            if end:
+                at = end.end()
+                out.append("" if quote else "<br>" if name == "pre" else " ")
+                continue
+            missing.add(name)
+        if name == "blockquote":
+            quote = max(0, quote - 1) if m[1] else quote + 1
+            out.append("<br>")
+        elif not quote and not m[0].startswith("<!--"):
+            out.append(m[0])
+    return "".join(out) + ("" if quote else html[at:])
+
+
+def _unquoted_lines(html: str) -> str:
+    """Lines typed with > in front go, and their indented continuation; each paragraph begins anew."""
+    if ">" not in re.sub(r"<[^>]*>", "", html) and "&gt;" not in html:
+        return html
+    out, at = [], 0
+    for m in [*_LINE_TAG.finditer(html), None]:
+        kept, quoting = [], False
+        for line in html[at : m.start() if m else len(html)].split("\n"):
+            bare = re.sub(r"<[^>]+>", "", line)
+            quoting = bool(re.match(r"\s*(?:&gt;|>)", bare)) or (quoting and bool(re.match(r"\s+\S", bare)))
+            if not quoting:
+                kept.append(line)
+        out.append("\n".join(kept))
+        if m:
+            out.append(m[0])
+            at = m.end()
+    return "".join(out)
 
 
 def html_text(html: str | None) -> str | None:
     """The text of a page as its reader sees it, with headings, items and bold as Markdown.
 
-    One pass over the tags with a stack of open lists; quotations, code,
-    comments and quoted lines are left out, white space of the source is one
-    blank, and block elements make line breaks.
+    Quotations, code, comments and quoted lines are left out, white space of
+    the source is one blank, and block elements make line breaks. Lists are a
+    stack, so an item belongs to the innermost open list. White space at the
+    edges of bold text stands outside its marks.
     """
     if html is None:
         return None
-    out, lists, quote, skip, at = [], [], 0, None, 0
-
-    def text(piece: str) -> None:
-        if not quote and not skip and piece:
-            out.append(re.sub(r"\s+", " ", piece))
-
-    html = re.sub(r"</li\s*>\s*(?=<li\b)", "", _without_quoted_lines(html), flags=re.I)  # the next item breaks the line
-    for m in _TAG.finditer(html):
-        text(html[at : m.start()])
-        at = m.end()
-        close, name = m[1], (m[2] or "").lower()
-        if skip:
-            if close and name == skip:
-                skip = None
-            continue
-        if name in ("pre", "code") and not close:
-            skip = name
-            out.append("\n" if name == "pre" else " ")
-        elif name == "blockquote":
-            quote = max(0, quote - 1) if close else quote + 1
-            out.append("\n")
-        elif quote or not name:
+    html = re.sub(r"\s+", " ", _unquoted_lines(_own_words(html)))
+    html = re.sub(r"</li\s*>\s*(?=<li\b)", "", html, flags=re.I)  # the next item breaks the line
+    out, lists, at = [], [], 0
+    while m := _TAG.search(html, at):
+        piece = html[at : m.start()]
+        at, close, name = m.end(), m[1], (m[2] or "").lower()
+        if name in ("strong", "b"):
+            if close:
+                out.append(piece.rstrip() + "**" + piece[len(piece.rstrip()) :])
+            else:
+                edge = html[at : at + 1] == " "
+                at += edge
+                out.append(piece + " " * edge + "**")
             continue
-        elif name in ("ol", "ul"):
+        out.append(piece)
+        if name in ("ol", "ul"):
             if close:
                 del lists[-1:]
             else:
@@ -139,15 +178,13 @@ def html_text(html: str | None) -> str | None:
             out.append("\n" + mark)
         elif re.fullmatch("h[1-6]", name) and not close:
             out.append("\n" + "#" * int(name[1]) + " ")
-        elif name in ("strong", "b"):
-            out.append("**")
         elif name == "p":
             out.append("\n\n")
         elif name in BLOCK_TAGS:
             out.append("\n")
         elif name in ("td", "th"):
             out.append(" ")
-    text(html[at:])
+    out.append(html[at:])
     flat = "".join(out)
     flat = re.sub(r"(\n(?:- |\d+\. ))\s*\n+", r"\1", flat)  # an item's own paragraph does not break it
     flat = ENTITY.sub(entity, flat)
@@ -156,19 +193,6 @@ def html_text(html: str | None) -> str | None:
     return re.sub(r"(?<=[A-Za-z])--(?=[A-Za-z])", "—", flat)
 
 
-def _without_quoted_lines(html: str) -> str:
-    """Lines typed with > in front, and their indented continuation, go."""
-    if ">" not in re.sub(r"<[^>]*>", "", html) and "&gt;" not in html:
-        return html
-    kept, quoting = [], False
-    for line in html.split("\n"):
-        bare = re.sub(r"<[^>]+>", "", line)
-        quoting = bool(re.match(r"\s*(?:&gt;|>)", bare)) or (quoting and bool(re.match(r"\s+\S", bare)))
-        if not quoting:
-            kept.append(line)
-    return "\n".join(kept)
-
-
 @F.pandas_udf(T.StringType())
 def to_text(html: pd.Series) -> pd.Series:
     return html.map(html_text)

@@ -7,8 +7,13 @@ the running start only for the number of an item that opens a sentence.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .dialect import java
 from .tokens import WORD, let
@@ -32,8 +37,7 @@ def sentences(text: Column) -> Column:
     """
     plain = F.regexp_replace(text, java(HEADING_LINE, "m"), "")
     cut = java(CUT)
-    gaps = F.regexp_extract_all(plain, F.lit(cut), F.lit(0))
-    return let(plain, lambda t: _joined(F.split(t, cut, -1), F.regexp_extract_all(t, F.lit(cut), F.lit(0)))) if gaps is not None else gaps
+    return let(plain, lambda t: _joined(F.split(t, cut, -1), F.regexp_extract_all(t, F.lit(cut), F.lit(0))))
 
 
 def _joined(pieces: Column, gaps: Column) -> Column:
@@ -69,3 +73,39 @@ def sentence_length_cv(text: Column) -> Column:
         return let(mean, lambda m: F.sqrt(F.aggregate(ls, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(ls)) / m)
 
     return let(lengths, lambda ls: F.when(F.size(ls) >= 5, cv(ls)))
+
+
+_SPACES = re.compile("[\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+_STOPS = re.compile(r"[.!?\n]")
+
+
+def _flat(text: str) -> str:
+    return _SPACES.sub(" ", text).strip(" ")
+
+
+def matches_in_sentences(text: str, pattern: re.Pattern, most: int = 240) -> list[str]:
+    """For each match the sentence around it, its white space squeezed.
+
+    A sentence reaches from stop to stop (. ! ? or a line's end). One of more
+    than ``most`` characters (code points) is cut to a window of as many with
+    the match in its middle, and dots tell where it goes on.
+    """
+    stops, out = [m.start() for m in _STOPS.finditer(text)], []
+    for m in pattern.finditer(text):
+        left, right = bisect_left(stops, m.start()), bisect_left(stops, m.end())
+        begin = stops[left - 1] + 1 if left else 0
+        raw = text[begin : stops[right] + 1 if right < len(stops) else len(text)]
+        shown = _flat(raw)
+        if len(shown) > most:
+            room = max(0, (most - (m.end() - m.start())) // 2)
+            upto = min(len(raw), max(0, m.start() - begin - room) + most)
+            since = max(0, upto - most)
+            shown = "…" * (since > 0) + _flat(raw[since:upto]) + "…" * (upto < len(raw))
+        out.append(shown)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def sentences_around(text: pd.Series, pattern: pd.Series) -> pd.Series:
+    """The sentences around the matches of ``pattern`` (ECMAScript, ignoring case, without white-space classes)."""
+    return pd.Series([matches_in_sentences(t, re.compile(p, re.A | re.I)) for t, p in zip(text, pattern, strict=True)])

@@ -1,23 +1,41 @@
-"""Shares of a text's n-grams that others hold. Grams are rows, so no group meets in one task."""
+"""Shares of a text's n-grams that others hold. Grams are rows, so no group meets in one task.
+
+A gram is the 64-bit hash of its words: rows stay small, and two different
+grams are taken for one with a probability of 2**-64.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import gram_words, grams, let
+from ..functions.tokens import gram_words, let
+
+#: A pool of at most so many grams (some 16 bytes each) is broadcast; a larger one is joined by shuffle.
+SMALL_POOL = 2_000_000
+
+
+def hashed(words: Column, n: int) -> Column:
+    """The distinct hashes of the runs of ``n`` words; none for fewer words."""
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+    return F.when(F.size(words) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<long>"))
 
 
 def exploded(rows: DataFrame, n: int, *keep: str) -> DataFrame:
     """keep, gram: the distinct n-grams of each text."""
-    return rows.select(*keep, F.explode(let(gram_words(F.col("text")), lambda w: grams(w, n))).alias("gram"))
+    return rows.select(*keep, F.explode(let(gram_words(F.col("text")), lambda w: hashed(w, n))).alias("gram"))
+
 
+def containment(rows: DataFrame, pool: DataFrame, n: int, *key: str, small: bool = True) -> DataFrame:
+    """id, grams, shared, containment: the share of a text's grams that its pool (key, gram) holds.
 
-def containment(rows: DataFrame, pool: DataFrame, n: int, *key: str) -> DataFrame:
-    """id, grams, shared, containment: the share of a text's grams that its pool (key, gram) holds."""
+    Null texts have no grams. Unless ``small`` is false the pool is counted, and broadcast if it is small.
+    """
     mine = exploded(rows, n, "id", *key)
-    hit = mine.join(pool.select(*key, "gram").distinct().withColumn("hit", F.lit(1)), [*key, "gram"], "left")
-    got = hit.groupBy("id").agg(F.count("*").alias("grams"), F.count("hit").alias("shared"))
+    pool = pool.select(*key, "gram").distinct().withColumn("hit", F.lit(1))
+    if small and pool.limit(SMALL_POOL + 1).count() <= SMALL_POOL:
+        pool = F.broadcast(pool)
+    got = mine.join(pool, [*key, "gram"], "left").groupBy("id").agg(F.count("*").alias("grams"), F.count("hit").alias("shared"))
     return rows.select("id").join(got, "id", "left").select("id", F.coalesce("grams", F.lit(0)).alias("grams"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce(F.col("shared") / F.col("grams"), F.lit(0.0)).alias("containment"))
 
 
@@ -32,7 +50,7 @@ def among(rows: DataFrame, n: int, *key: str) -> DataFrame:
     A text's own grams count once, so what two texts hold is what others hold.
     """
     pool = exploded(rows, n, *key).groupBy(*key, "gram").agg(F.count("*").alias("texts")).where("texts > 1")
-    return containment(rows, pool, n, *key)
+    return containment(rows, pool, n, *key, small=False)
 
 
 def guarded(rows: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:

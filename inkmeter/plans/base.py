@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import length_bin, length_stratum, n_words
+from ..session import spread
 
 #: (k, r, sentence): appended where doc_id % k = r.
 SEEDS = [
@@ -48,8 +49,13 @@ f0 AS (SELECT *, {WORDS_SQL} AS n_words, replace(text, '**', '') AS rt FROM text
 f AS (SELECT *, {BIN_SQL} AS bin FROM f0)"""
 
 
+#: Tables whose rows hold texts: their few splits are spread over the cores.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

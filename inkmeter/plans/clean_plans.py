@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from ..functions import markers as M
 from ..functions.tokens import approx_tokens, runs
+from ..operators import overlap
+from ..operators.records import dated_exclusions
 from .base import quoted, round6, table
+from .marker_plans import FLAG_SQL
 
 META_SEEDS = [
     (20, 1, "I cannot provide a response to this request. "),
@@ -119,43 +123,111 @@ def cleaning(rows: DataFrame, reasons: list[tuple[str, object]], by: list[str])
 def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five ordered steps over documents and labels, with what each drops per language.
 
-    Truncated, task-talk and remembered texts are not dropped here.
+    Null texts count as empty. Copies are told by digest. Truncated, task-talk
+    and remembered texts are counted by ``cleaning_by_writer``.
     """
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    firsts = docs.groupBy("text").agg(F.min("doc_id").alias("first"))
-    rows = docs.join(firsts, "text")
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.sha2("text", 256))
+    docs = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    firsts = docs.groupBy("key").agg(F.min("doc_id").alias("first"))
     n = F.size(runs(F.col("text")))
+    rows = docs.select("lang", "doc_id", "key", "quality", n.alias("n"), C.is_english(F.col("text")).alias("english")).join(firsts, "key")
     return cleaning(
         rows,
         [
-            ("short", n < 80), ("long", n > 800), ("foreign", ~C.is_english(F.col("text"))), ("copy", F.col("doc_id") != F.col("first")), ("poor", F.col("quality") == 0),
+            ("short", F.col("n") < 80), ("long", F.col("n") > 800), ("foreign", ~F.col("english")), ("copy", F.col("doc_id") != F.col("first")), ("poor", F.col("quality") == 0),
         ],
         ["lang"],
     )
 
 
-CLEANING_SQL = f"""WITH {SHARE_SQL}, d AS (SELECT s.*, len(regexp_extract_all(text, '\\S+')) AS n, min(doc_id) OVER (PARTITION BY text) AS first FROM sh s),
+CLEANING_SQL = f"""WITH {SHARE_SQL}, d AS (SELECT s.*, coalesce(len(regexp_extract_all(text, '\\S+')), 0) AS n, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM sh s),
 r AS (SELECT lang, CASE WHEN n < 80 THEN 'short' WHEN n > 800 THEN 'long' WHEN share < 0.12 THEN 'foreign' WHEN doc_id <> first THEN 'copy' WHEN quality = 0 THEN 'poor' END AS r
   FROM d LEFT JOIN (SELECT doc_id, quality FROM labels) USING (doc_id))
 SELECT lang, count(*) AS texts, count(*) FILTER (r = 'short') AS short, count(*) FILTER (r = 'long') AS "long", count(*) FILTER (r = 'foreign') AS "foreign",
   count(*) FILTER (r = 'copy') AS copy, count(*) FILTER (r = 'poor') AS poor, count(*) FILTER (r IS NULL) AS kept FROM r GROUP BY lang"""
 
-#: Typography features of a census.
+
+def cleaned_by_writer(rows: DataFrame, excluded: DataFrame, person: str = "person", reports: tuple[str, ...] = ("claude",)) -> DataFrame:
+    """Per writer: texts and what each ordered check drops; a text counts for the first that drops it.
+
+    ``rows`` are (writer, doc, text, model, containment); ``excluded`` names
+    documents left out by date. The order is date, language, truncated, task
+    talk, remembered. A document any writer has in another language goes for
+    all writers. The person's texts meet the first two checks alone; of the
+    writers in ``reports`` cut-off texts and task talk are kept. Remembered is
+    a containment above one half; without one a text is unchecked and stays.
+    """
+    foreign = rows.where(~C.is_english(F.coalesce("text", F.lit("")))).select("doc").distinct().withColumn("_f", F.lit(True))
+    out = rows.join(excluded.select("doc").distinct().withColumn("_e", F.lit(True)), "doc", "left").join(foreign, "doc", "left")
+    model, cleans = F.col("writer") != person, ~F.col("writer").isin(person, *reports)
+    reason = (
+        F.when(F.col("_e").isNotNull(), "excluded_by_date")
+        .when(F.col("_f").isNotNull(), "excluded_by_language")
+        .when(cleans & C.is_truncated(F.coalesce("text", F.lit("")), F.col("model")), "truncated")
+        .when(cleans & C.meta_kind(F.coalesce("text", F.lit(""))).isNotNull(), "meta")
+        .when(model & (F.col("containment") > REMEMBERED_ABOVE), "remembered")
+    )
+    out = out.select("writer", reason.alias("r"), (model & F.col("containment").isNull()).alias("bare"))
+    by = [F.count_if(F.col("r") == x).alias(x) for x in ("excluded_by_date", "excluded_by_language", "truncated", "meta", "remembered")]
+    unchecked = F.count_if(F.col("bare") & F.col("r").isNull()).alias("unchecked")
+    return out.groupBy("writer").agg(F.count("*").alias("texts"), *by, unchecked, F.count_if(F.col("r").isNull()).alias("kept"))
+
+
+def cleaning_by_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks over the edited documents by model, the arm "other" being the person.
+
+    Dates are those of the orders with the documents' numbers; texts are held
+    against the grams of the benchmark.
+    """
+    rows = edited(spark, sf_dir)
+    pool = overlap.exploded(table(spark, sf_dir, "benchmark"), 5).distinct()
+    near = overlap.containment(rows.select(F.col("doc_id").alias("id"), "text"), pool, 5).where("grams > 0").select(F.col("id").alias("doc"), "containment")
+    dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    excluded = dated_exclusions(dates, rows.select(F.col("doc_id").alias("doc")), "1995-01-01", "1995-06-30").where("status = 'excluded'")
+    writer = F.when(F.col("model") == "other", "person").otherwise(F.col("model"))
+    rows = rows.select(writer.alias("writer"), F.col("doc_id").alias("doc"), "text", "model").join(near, "doc", "left")
+    return cleaned_by_writer(rows, excluded)
+
+
+#: Fixed value: a text that shares more than this of its grams is remembered.
+REMEMBERED_ABOVE = 0.5
+#: Typography features of a census; those in ``FLAGS`` have no occurrences to count.
 TYPOGRAPHY = {
-    "straight_double": '"', "curly_double": "[“”]", "straight_single": "'", "curly_single": "[‘’]", "em_dash_char": "—", "en_dash_char": "–", "double_hyphen": "--", "ellipsis_char": "…", "three_dots": r"\.\.\.",
-    "semicolon": ";", "colon": ":", "exclamation": "!", "question": r"\?", "bracket": r"\(", "digit": "[0-9]+", "non_ascii": r"[^\x00-\x7F]", "line_break": r"\n", "blank_line": r"\n\n", "double_space": "  ",
+    "em_dash_char": "—", "en_dash_char": "–", "double_hyphen": "--", "spaced_hyphen": " - ", "curly_double_quotes": "[“”]", "straight_double_quotes": '"', "curly_apostrophe": "’", "straight_apostrophe": "'",
+    "wont_without_an_apostrophe": r"(?iu)(?<![\p{L}\p{N}_'’])wont(?![\p{L}\p{N}_'’])", "ellipsis_char": "…", "three_dots": r"\.\.\.", "bold_marks": r"\*\*",
 }
+FLAGS = {"bullet_line": r"(?m)^[^\S\n]*(?:[-*•+]|\d{1,2}[.)])[^\S\n]", "heading_line": r"(?m)^[^\S\n]*#{1,6}[^\S\n]", "blank_line": r"\n[^\S\n]*\n", "line_break": r"\n"}
 
 
 def typography_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per feature: texts that have it, and occurrences, in one pass over the texts."""
-    docs = table(spark, sf_dir, "documents")
-    each = F.array(*(F.struct(F.lit(k).alias("feature"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for k, p in TYPOGRAPHY.items()))
-    got = docs.select(F.explode(each).alias("f")).groupBy("f.feature")
-    return got.agg(F.count("*").alias("texts"), F.count_if(F.col("f.n") > 0).alias("texts_with"), F.sum("f.n").alias("occurrences"))
+    """Per feature: texts, those that have it, and occurrences where there are such, in one pass over the texts."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    none = ~text.rlike("['’]")
+    bare = ~M.BY_ID["no_contraction"].test(text)
+    flags = {"no_apostrophe_at_all": none, "contraction": bare, "contraction_without_an_apostrophe": none & bare} | {k: text.rlike(p) for k, p in FLAGS.items()}
+    each = [F.struct(F.lit(k).alias("feature"), F.regexp_count(text, F.lit(p)).cast("long").alias("n"), F.lit(True).alias("counts")) for k, p in TYPOGRAPHY.items()]
+    each += [F.struct(F.lit(k).alias("feature"), c.cast("long").alias("n"), F.lit(False).alias("counts")) for k, c in flags.items()]
+    got = docs.select(F.explode(F.array(*each)).alias("f")).groupBy("f.feature", "f.counts")
+    got = got.agg(F.count("*").alias("texts"), F.count_if(F.col("f.n") > 0).alias("texts_with"), F.sum("f.n").alias("n"))
+    return got.select("feature", "texts", "texts_with", F.when(F.col("counts"), F.col("n")).alias("occurrences"))
+
+
+def _census_sql() -> str:
+    def counted(k: str, p: str) -> str:
+        if k.startswith("wont"):  # RE2 has no look-around
+            return f"SELECT {quoted(k)} AS feature, len(list_filter(regexp_extract_all(lower(t), {quoted(LOOSE_WORD)}), lambda x: x = 'wont')) AS n, true AS c FROM d"
+        return f"SELECT {quoted(k)} AS feature, len(regexp_extract_all(t, {quoted(p)})) AS n, true AS c FROM d"
+
+    bare = f"NOT ({FLAG_SQL['no_contraction']})"
+    none = "NOT regexp_matches(t, '[''’]')"
+    tests = {"no_apostrophe_at_all": none, "contraction": bare, "contraction_without_an_apostrophe": f"{none} AND {bare}"} | {k: f"regexp_matches(t, {quoted(p)})" for k, p in FLAGS.items()}
+    rows = [counted(k, p) for k, p in TYPOGRAPHY.items()] + [f"SELECT {quoted(k)} AS feature, ({c})::BIGINT AS n, false AS c FROM d" for k, c in tests.items()]
+    return f"WITH d AS (SELECT coalesce(text, '') AS t, replace(coalesce(text, ''), '**', '') AS rt FROM documents), c AS ({' UNION ALL '.join(rows)}) SELECT feature, count(*) AS texts, count(*) FILTER (n > 0) AS texts_with, CASE WHEN c THEN sum(n)::BIGINT END AS occurrences FROM c GROUP BY feature, c"
 
 
-TYPOGRAPHY_SQL = "WITH c AS (" + " UNION ALL ".join(f"SELECT {quoted(k)} AS feature, len(regexp_extract_all(text, {quoted(p)})) AS n FROM documents" for k, p in TYPOGRAPHY.items()) + ") SELECT feature, count(*) AS texts, count(*) FILTER (n > 0) AS texts_with, sum(n)::BIGINT AS occurrences FROM c GROUP BY feature"
+LOOSE_WORD = r"[\pL\pN_'’]+"
+TYPOGRAPHY_SQL = _census_sql()
 
 
 QUERIES = {
@@ -166,6 +238,7 @@ QUERIES = {
     "truncation": truncation,
     "meta_kind": meta_kind,
     "cleaning_report": cleaning_report,
+    "cleaning_by_writer": cleaning_by_writer,
     "typography_census": typography_census,
 }
 SQL = {

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import markers as M
 from ..functions import stats as S
+from ..session import cut
 from .base import TEXTS_SQL, quoted, round6, texts
 
 SIMPLE = [*M.WORDS, "important_to_note", "in_todays", "dive_into"]
@@ -17,7 +18,8 @@ WHOLE = ["em_dash_heavy", "bulleted_bold", "no_contraction", "no_first_person",
 
 def counted(rows: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
     """keep, marker, n: a row per text and marker; all patterns run in one pass over the text."""
-    each = F.array(*(F.struct(F.lit(x).alias("marker"), M.BY_ID[x].count(F.col("text")).alias("n")) for x in names))
+    rows = rows.select(*keep, M.readable(F.col("text")).alias("_rt")).withColumn("_low", F.lower("_rt"))
+    each = F.array(*(F.struct(F.lit(x).alias("marker"), M.BY_ID[x].counted(F.col("_rt"), F.col("_low")).alias("n")) for x in names))
     return rows.select(*keep, F.explode(each).alias("m")).select(*keep, "m.marker", "m.n")
 
 
@@ -111,14 +113,27 @@ SHARE_SQL = f"""WITH {counts_sql(SIMPLE)}, g AS (SELECT arm, marker, count(*)::D
 SELECT arm, marker, n::BIGINT AS n, k::BIGINT AS k, round(100 * p, 6) AS pct, {WILSON_SQL} FROM w"""
 
 
-def arm_rates(rows: DataFrame, names: list[str]) -> DataFrame:
-    """arm, marker, texts, words, occurrences, dispersion: the whole arm's rate in one pass."""
-    got = counted(rows, names, ["arm", "n_words"]).groupBy("arm", "marker")
-    return got.agg(F.count("*").alias("texts"), F.sum("n_words").alias("words"), F.sum("n").alias("occurrences"), S.dispersion(F.col("n"), F.col("n_words")).alias("dispersion"))
+def tallied(rows: DataFrame, names: list[str]) -> DataFrame:
+    """arm, marker, stratum and sums over texts: all that rates, dispersions and tests need, from one pass.
+
+    ``some`` and ``held`` are the texts with words and their occurrences,
+    ``squares`` the sum of n * n / words. At most a row per arm, marker and
+    length stratum, of which there are some hundred.
+    """
+    some, n, w = F.col("n_words") > 0, F.col("n"), F.col("n_words")
+    got = counted(rows, names, ["arm", "stratum", "n_words"]).groupBy("arm", "marker", "stratum")
+    square = n.cast("double") * n / F.nullif(w, F.lit(0))
+    return got.agg(F.count("*").alias("texts"), F.count_if(some).alias("some"), F.sum(w).alias("words"), F.sum(n).alias("occurrences"), F.sum(F.when(some, n).otherwise(0)).alias("held"), F.coalesce(F.sum(square), F.lit(0.0)).alias("squares"))
+
+
+def arm_rates(tallies: DataFrame) -> DataFrame:
+    """arm, marker, texts, words, occurrences, dispersion: the whole arm's rate."""
+    got = tallies.groupBy("arm", "marker").agg(*(F.sum(c).alias(c) for c in ("texts", "some", "words", "occurrences", "held", "squares")))
+    return got.select("arm", "marker", "texts", "words", "occurrences", S.dispersion_of(*map(F.col, ("some", "words", "occurrences", "held", "squares"))).alias("dispersion"))
 
 
 def rate_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = arm_rates(texts(spark, sf_dir), SIMPLE)
+    got = arm_rates(tallied(texts(spark, sf_dir), SIMPLE))
     return got.select("arm", "marker", "texts", "words", "occurrences", round6(F.col("dispersion")).alias("dispersion"))
 
 
@@ -172,16 +187,16 @@ BH_SQL = f"""WITH {TWO_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY p, mark
 SELECT marker, round(p, 6) AS p, round(least(1.0::DOUBLE, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r"""
 
 
-def strata(rows: DataFrame, names: list[str], first: str = "person", second: str = "machine") -> DataFrame:
+def strata(tallies: DataFrame, first: str = "person", second: str = "machine") -> DataFrame:
     """marker, stratum, x, n, p0: shared strata with words on both sides and an occurrence."""
-    got = counted(rows.where("n_words > 0").where(F.col("arm").isin(first, second)), names, ["arm", "stratum", "n_words"])
     side = lambda arm, c: F.sum(F.when(F.col("arm") == arm, F.col(c)).otherwise(0))
-    got = got.groupBy("marker", "stratum").agg(side(first, "n").alias("ox"), side(first, "n_words").alias("wx"), side(second, "n").alias("oy"), side(second, "n_words").alias("wy"))
+    got = tallies.where(F.col("stratum").isNotNull() & F.col("arm").isin(first, second)).groupBy("marker", "stratum")
+    got = got.agg(side(first, "occurrences").alias("ox"), side(first, "words").alias("wx"), side(second, "occurrences").alias("oy"), side(second, "words").alias("wy"))
     return got.where("wx > 0 and wy > 0 and ox + oy > 0").select("marker", "stratum", F.col("ox").alias("x"), (F.col("ox") + F.col("oy")).alias("n"), (F.col("wx") / (F.col("wx") + F.col("wy"))).alias("p0"))
 
 
 def strata_observed_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = strata(texts(spark, sf_dir), SIMPLE).groupBy("marker")
+    got = strata(tallied(texts(spark, sf_dir), SIMPLE)).groupBy("marker")
     return got.agg(F.count("*").alias("strata"), F.sum("x").alias("observed"), round6(F.sum(F.col("n") * F.col("p0"))).alias("expected"))
 
 
@@ -190,36 +205,39 @@ STRATA_SQL = f"""WITH {counts_sql(SIMPLE)}, g AS (SELECT marker, floor(ln(n_word
 SELECT marker, count(*) AS strata, sum(ox)::BIGINT AS observed, round(sum((ox + oy) * (wx::DOUBLE / (wx + wy))), 6) AS expected FROM g WHERE wx > 0 AND wy > 0 AND ox + oy > 0 GROUP BY marker"""
 
 
-def rate_tests(rows: DataFrame, names: list[str], first: str = "person", second: str = "machine") -> DataFrame:
-    """marker, p, observed, expected: the length-matched exact test of two arms' rates."""
-    both = arm_rates(rows.where(F.col("arm").isin(first, second)), names)
+def rate_tests(tallies: DataFrame, first: str = "person", second: str = "machine") -> DataFrame:
+    """marker, p, observed, expected: the length-matched exact test of two arms' rates.
+
+    p is null where an arm has no words. ``observed`` and ``expected`` are of the first arm.
+    """
+    both = arm_rates(tallies.where(F.col("arm").isin(first, second)))
     side = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
-    phi = both.groupBy("marker").agg(S.pooled_dispersion(side(first, "dispersion"), side(first, "texts"), side(second, "dispersion"), side(second, "texts")).alias("phi"))
+    phi = S.pooled_dispersion(side(first, "dispersion"), side(first, "texts"), side(second, "dispersion"), side(second, "texts"))
+    phi = both.groupBy("marker").agg(phi.alias("phi"), (F.coalesce(side(first, "words"), F.lit(0)) * F.coalesce(side(second, "words"), F.lit(0)) > 0).alias("any"))
     ordered = F.array_sort(F.collect_list(F.struct("stratum", "x", "n", "p0")))  # at most one row a stratum
-    cells = strata(rows, names, first, second).groupBy("marker").agg(ordered.alias("s"))
+    cells = strata(tallies, first, second).groupBy("marker").agg(ordered.alias("s"))
     got = phi.join(cells, "marker", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<stratum:bigint,x:bigint,n:bigint,p0:double>>")))
     got = got.withColumn("t", S.conditional_p(F.col("s.x"), F.col("s.n"), F.col("s.p0"), F.col("phi")))
-    return got.select("marker", F.col("t.p").alias("p"), F.col("t.observed").alias("observed"), F.col("t.expected").alias("expected"))
+    return got.select("marker", F.when(F.col("any"), F.col("t.p")).alias("p"), F.col("t.observed").alias("observed"), F.col("t.expected").alias("expected"))
 
 
 def conditional_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate_tests(texts(spark, sf_dir), SIMPLE + HARD)
+    return rate_tests(cut(tallied(texts(spark, sf_dir), SIMPLE + HARD)))
 
 
-def bounded_rates(rows: DataFrame, names: list[str]) -> DataFrame:
-    got = arm_rates(rows, names).withColumn("b", S.poisson_bounds(F.col("occurrences") / F.col("dispersion")))
+def bounded_rates(tallies: DataFrame) -> DataFrame:
+    got = arm_rates(tallies).withColumn("b", S.poisson_bounds(F.col("occurrences") / F.col("dispersion")))
     scale = 1000 * F.col("dispersion") / F.nullif("words", F.lit(0))
     return got.select("arm", "marker", "texts", "words", "occurrences", "dispersion", (1000 * F.col("occurrences") / F.nullif("words", F.lit(0))).alias("per1000"), (scale * F.col("b.lo")).alias("lo"), (scale * F.col("b.hi")).alias("hi"))
 
 
 def poisson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bounded_rates(texts(spark, sf_dir), SIMPLE)
+    return bounded_rates(tallied(texts(spark, sf_dir), SIMPLE))
 
 
-def rate_verdicts(rows: DataFrame, names: list[str]) -> DataFrame:
-    """marker, q, verdict of the countable markers of the machine arm."""
-    tests = benjamini_hochberg(rate_tests(rows, names), "p", "q")
-    rates = bounded_rates(rows, names)
+def rate_verdicts(tallies: DataFrame, tests: DataFrame) -> DataFrame:
+    """marker, q, verdict of the countable markers of the machine arm, from tests with p adjusted to q."""
+    rates = bounded_rates(tallies)
     pick = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
     wide = rates.groupBy("marker").agg(pick("person", "lo").alias("plo"), pick("machine", "lo").alias("mlo"), pick("machine", "words").alias("mw"), pick("casual", "hi").alias("chi"), pick("casual", "words").alias("cw"))
     verdict = (
@@ -233,7 +251,8 @@ def rate_verdicts(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def verdict_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate_verdicts(texts(spark, sf_dir), SIMPLE + HARD)
+    tallies = cut(tallied(texts(spark, sf_dir), SIMPLE + HARD))
+    return rate_verdicts(tallies, benjamini_hochberg(rate_tests(tallies), "p", "q"))
 
 
 def share_verdicts(shares: DataFrame) -> DataFrame:
@@ -281,10 +300,10 @@ def analyse(text_rows: DataFrame) -> DataFrame:
 
 
 def analyse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(texts(spark, sf_dir), SIMPLE, ["doc_id"]).where("n > 0")
+    return analyse(texts(spark, sf_dir))
 
 
-ANALYSE_SQL = f"WITH {counts_sql(SIMPLE)} SELECT doc_id, marker, n FROM c WHERE n > 0"
+ANALYSE_SQL = f"WITH {counts_sql(SIMPLE + HARD)} SELECT doc_id, marker, n FROM c WHERE n > 0"
 
 QUERIES = {
     "marker_counts_words": rates_of(list(M.WORDS)),

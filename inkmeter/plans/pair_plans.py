@@ -8,8 +8,11 @@ from pyspark.sql import Window as W
 
 from ..functions import markers as M
 from ..functions.tokens import gram_words, length_bin, n_words
+from ..functions.sentences import sentences_around
 from ..operators import overlap, pairing
 from .base import TEXTS_SQL, order_key, quoted, round6, table, texts
+from .clean_plans import REMEMBERED_ABOVE
+from .marker_plans import SIMPLE
 
 N = 5
 
@@ -126,10 +129,10 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def containment_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's share of 5-grams that the benchmark holds, and whether it is above 0.2."""
+    """Each document's share of 5-grams that the benchmark holds, and whether it is above one half."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     got = overlap.containment(docs, _pool(spark, sf_dir), N)
-    return got.select("id", "grams", "shared", round6(F.col("containment")).alias("containment"), (F.col("containment") > 0.2).alias("remembered"))
+    return got.select("id", "grams", "shared", round6(F.col("containment")).alias("containment"), (F.col("containment") > REMEMBERED_ABOVE).alias("remembered"))
 
 
 GRAM_SQL = "list_distinct([array_to_string(w[i : i + {n} - 1], ' ') FOR i IN range(1, len(w) - {n} + 2)])"
@@ -137,7 +140,7 @@ GRAMS_SQL = f"""dw AS (SELECT doc_id AS id, doc_id, regexp_extract_all(translate
 bw AS (SELECT item_id, regexp_extract_all(translate(lower(text), '’‘', ''''''), '[a-z0-9'']+') AS w FROM benchmark),
 dg AS (SELECT id, unnest({GRAM_SQL.format(n=N)}) AS gram FROM dw), bg AS (SELECT DISTINCT unnest({GRAM_SQL.format(n=N)}) AS gram FROM bw)"""
 CONTAINMENT_SQL = f"""WITH {GRAMS_SQL}, g AS (SELECT id, count(*) AS grams, count(bg.gram) AS shared FROM dg LEFT JOIN bg USING (gram) GROUP BY id)
-SELECT dw.id, coalesce(grams, 0) AS grams, coalesce(shared, 0) AS shared, round(coalesce(shared::DOUBLE / grams, 0.0), 6) AS containment, coalesce(shared::DOUBLE / grams, 0.0) > 0.2 AS remembered FROM dw LEFT JOIN g USING (id)"""
+SELECT dw.id, coalesce(grams, 0) AS grams, coalesce(shared, 0) AS shared, round(coalesce(shared::DOUBLE / grams, 0.0), 6) AS containment, coalesce(shared::DOUBLE / grams, 0.0) > 0.5 AS remembered FROM dw LEFT JOIN g USING (id)"""
 
 
 def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +151,9 @@ def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIRS_SQL = f"""WITH dw AS (SELECT doc_id AS id, source, regexp_extract_all(translate(lower(text), '’‘', ''''''), '[a-z0-9'']+') AS w FROM documents),
-dg AS (SELECT id, source, unnest({GRAM_SQL.format(n=N)}) AS gram FROM dw), p AS (SELECT DISTINCT source, gram, 1 AS hit FROM dg WHERE id % 3 = 0),
-g AS (SELECT dg.id, count(*) AS grams, count(hit) AS shared FROM dg LEFT JOIN p USING (source, gram) WHERE id % 3 = 1 GROUP BY dg.id)
-SELECT dw.id, coalesce(grams, 0) AS grams, coalesce(shared, 0) AS shared, round(coalesce(shared::DOUBLE / grams, 0.0), 6) AS containment FROM dw LEFT JOIN g USING (id) WHERE id % 3 = 1"""
+dg AS (SELECT id, source, unnest({GRAM_SQL.format(n=N)}) AS gram FROM dw), p AS (SELECT source, gram, 1 AS hit FROM dg GROUP BY ALL HAVING count(*) > 1),
+g AS (SELECT dg.id, count(*) AS grams, count(hit) AS shared FROM dg LEFT JOIN p USING (source, gram) GROUP BY dg.id)
+SELECT dw.id, coalesce(grams, 0) AS grams, coalesce(shared, 0) AS shared, round(coalesce(shared::DOUBLE / grams, 0.0), 6) AS containment FROM dw LEFT JOIN g USING (id)"""
 
 
 def gram_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,23 +182,25 @@ GUARD_SQL = f"""WITH {GRAMS_SQL}, d8 AS (SELECT id, unnest({GRAM_SQL.format(n=8)
 SELECT DISTINCT id FROM d8 WHERE gram IN (SELECT gram FROM b8)"""
 
 # ---- evidence ----
-SHOWN = ["delve", "moreover", "showcase", "crucial"]
+#: The markers shown: all whose pattern SQL can follow.
+SHOWN = SIMPLE
 
 
 def hits(rows: DataFrame, names: list[str]) -> DataFrame:
-    """doc_id, arm, marker, k, form, before, prefix, suffix: every match in its text.
+    """doc_id, arm, marker, k, form, before: every match in its text, in one pass over the texts.
 
     What a pattern splits and what it extracts alternate, so the text before
-    a match is the joined pieces before it.
+    a match is the piece before it.
     """
-    parts = []
-    for name in names:
-        pattern, text = M.BY_ID[name].pattern, M.readable(F.col("text"))
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        parts.append(rows.where(text.rlike(pattern)).select("doc_id", "arm", F.lit(name).alias("marker"), F.posexplode(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("form"))).alias("k", "h")).where("h.form is not null"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    rows = rows.select("doc_id", "arm", M.readable(F.col("text")).alias("_rt")).withColumn("_low", F.lower("_rt"))
+
+    def found(name: str):
+        pattern = M.BY_ID[name].pattern
+        pieces = F.arrays_zip(F.split("_rt", pattern, -1).alias("gap"), F.regexp_extract_all("_rt", F.lit(pattern), F.lit(0)).alias("form"))
+        return F.struct(F.lit(name).alias("marker"), F.when(M.BY_ID[name].may("_rt", "_low"), pieces).alias("h"))
+
+    each = rows.select("doc_id", "arm", F.explode(F.array(*map(found, names))).alias("m")).where("m.h is not null")
+    out = each.select("doc_id", "arm", "m.marker", F.posexplode("m.h").alias("k", "h")).where("h.form is not null")
     before = F.regexp_extract(F.lower(F.right("h.gap", F.lit(40))), r"([a-z][a-z'’-]*)[^a-z]*\z", 1)
     return out.select("doc_id", "arm", "marker", "k", F.lower("h.form").alias("form"), before.alias("before"))
 
@@ -221,7 +226,8 @@ def evidence_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("arm", "marker", "rank", "doc_id", "form")
 
 
-HITS_SQL = f"{TEXTS_SQL}, h0 AS (" + " UNION ALL ".join(f"SELECT doc_id, arm, {quoted(x)} AS marker, unnest(list_zip(string_split_regex(rt, {quoted('(?i)' + M.WORDS[x])}), range(1, len(regexp_extract_all(rt, {quoted('(?i)' + M.WORDS[x])})) + 1), regexp_extract_all(rt, {quoted('(?i)' + M.WORDS[x])}))) AS h FROM f" for x in SHOWN) + "), h AS (SELECT doc_id, arm, marker, h[2] AS k, lower(h[3]) AS form, regexp_extract(lower(right(h[1], 40)), '([a-z][a-z''’-]*)[^a-z]*$', 1) AS before FROM h0 WHERE h[3] IS NOT NULL)"
+_RX = {x: quoted("(?i)" + {**M.WORDS, **M.PHRASES}[x]) for x in SHOWN}
+HITS_SQL = f"{TEXTS_SQL}, h0 AS (" + " UNION ALL ".join(f"SELECT doc_id, arm, {quoted(x)} AS marker, unnest(list_zip(string_split_regex(rt, {p}), range(1, len(regexp_extract_all(rt, {p})) + 1), regexp_extract_all(rt, {p}))) AS h FROM f" for x, p in _RX.items()) + "), h AS (SELECT doc_id, arm, marker, h[2] AS k, lower(h[3]) AS form, regexp_extract(lower(right(h[1], 40)), '([a-z][a-z''’-]*)[^a-z]*$', 1) AS before FROM h0 WHERE h[3] IS NOT NULL)"
 
 
 def _top_sql(value: str) -> str:
@@ -234,14 +240,27 @@ SELECT arm, marker, rank, doc_id, form FROM (SELECT *, row_number() OVER (PARTIT
 
 
 def kwic_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentence around the first "moreover" of each text, at most 240 characters."""
-    text = M.readable(F.col("text"))
-    pattern = r"(?is)([^.!?\n]{0,120})\b(moreover)\b([^.!?\n]{0,110}[.!?]?)"
-    rows = texts(spark, sf_dir).where(text.rlike("(?i)moreover"))
-    return rows.select("doc_id", F.trim(F.concat(*(F.regexp_extract(text, pattern, i) for i in (1, 2, 3)))).alias("sentence"))
-
-
-KWIC_SQL = f"""WITH {TEXTS_SQL} SELECT doc_id, trim(regexp_extract(rt, '(?is)([^.!?\\n]{{0,120}})\\b(moreover)\\b([^.!?\\n]{{0,110}}[.!?]?)', 0)) AS sentence FROM f WHERE regexp_matches(rt, '(?i)moreover')"""
+    """The sentence around every match of the shown markers, at most 240 characters with the match kept in view."""
+    rows = texts(spark, sf_dir).select("doc_id", M.readable(F.col("text")).alias("rt"))
+    each = F.array(*(F.struct(F.lit(x).alias("marker"), F.lit({**M.WORDS, **M.PHRASES}[x]).alias("pattern"), M.BY_ID[x].may("rt", "low").alias("may")) for x in SHOWN))
+    rows = rows.withColumn("low", F.lower("rt")).select("doc_id", "rt", F.explode(each).alias("m")).where("m.may")
+    found = rows.select("doc_id", "m.marker", F.posexplode(sentences_around("rt", "m.pattern")).alias("k", "sentence"))
+    return found.select("doc_id", "marker", "k", "sentence")
+
+
+def _kwic_sql() -> str:
+    rx = {x: quoted("(?i)" + {**M.WORDS, **M.PHRASES}[x]) for x in SHOWN}
+    rows = " UNION ALL ".join(f"SELECT doc_id, {quoted(x)} AS marker, rt, string_split_regex(rt, {p}) AS g, regexp_extract_all(rt, {p}) AS m FROM f WHERE regexp_matches(rt, {p})" for x, p in rx.items())
+    flat = "trim(regexp_replace({0}, '[\\s\\x0b\\x85\\pZ]+', ' ', 'g'))"
+    return f"""WITH {TEXTS_SQL}, h0 AS ({rows}), h1 AS (SELECT *, unnest(range(1, len(m) + 1)) AS j FROM h0),
+h2 AS (SELECT doc_id, marker, j - 1 AS k, rt, m[j] AS w, list_sum(list_transform(g[1:j], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: len(x))), 0) AS s FROM h1),
+h3 AS (SELECT *, regexp_extract(left(rt, s::BIGINT), '[^.!?\n]*$') AS a, regexp_extract(substr(rt, (s + len(w) + 1)::BIGINT), '^[^.!?\n]*[.!?\n]?') AS b FROM h2),
+h4 AS (SELECT *, a || w || b AS raw, greatest(0, (240 - len(w)) // 2) AS half FROM h3), h5 AS (SELECT *, least(len(raw), greatest(0, len(a) - half) + 240) AS hi FROM h4), h6 AS (SELECT *, greatest(0, hi - 240) AS lo FROM h5)
+SELECT doc_id, marker, k::INTEGER AS k, CASE WHEN len({flat.format('raw')}) <= 240 THEN {flat.format('raw')}
+  ELSE CASE WHEN lo > 0 THEN '…' ELSE '' END || {flat.format('substr(raw, lo + 1, hi - lo)')} || CASE WHEN hi < len(raw) THEN '…' ELSE '' END END AS sentence FROM h6"""
+
+
+KWIC_SQL = _kwic_sql()
 
 QUERIES = {
     "token_lengths": token_lengths, "length_bins": length_bins, "length_strata": length_strata, "upper_median": median_words,

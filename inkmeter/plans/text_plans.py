@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from .base import round6, table
+from .base import quoted, round6, table
 
 
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,14 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", N.squeezed(title).alias("title"))
 
 
+#: Text set before and after each document, and what plain text makes of it.
+BEFORE, AFTER = "  A\r\n\r\n\r\n\tb ", " caf&#233; &amp;lt; &mdash;&#x2F;&#151; &bogus; it&rsquo;s \n\n\n\n"
+AFTER_PLAIN = " café &lt; —/— &bogus; it’s"
+
+
 def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("  A\r\n\r\n\r\n\tb "), "text", F.lit(" \n\n\n\n")).alias("text"))
-    return docs.select("doc_id", N.squeezed(F.col("text")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(BEFORE), "text", F.lit(AFTER)).alias("text"))
+    return docs.select("doc_id", N.plain_text(F.col("text")).alias("text"))
 
 
 def join_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +103,8 @@ def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 SQUEEZE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 TITLES = "SELECT page_id, " + SQUEEZE.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)") + " AS title FROM pages"
 MATCH_SQL = f"""WITH t AS ({TITLES}), w AS (SELECT page_id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{{3,}}')) AS w FROM t),
-x AS (SELECT page_id, unnest(w) AS word, len(w) AS n FROM w), r AS (SELECT word FROM x GROUP BY word HAVING count(*) BETWEEN 2 AND 49),
-y AS (SELECT * FROM x WHERE word IN (SELECT word FROM r)),
-p AS (SELECT a.page_id, b.page_id AS other, a.n, b.n AS m, count(*) AS shared FROM y a JOIN y b ON a.word = b.word AND a.page_id <> b.page_id GROUP BY ALL),
+x AS (SELECT page_id, unnest(w) AS word, len(w) AS n FROM w),
+p AS (SELECT a.page_id, b.page_id AS other, a.n, b.n AS m, count(*) AS shared FROM x a JOIN x b ON a.word = b.word AND a.page_id <> b.page_id GROUP BY ALL),
 s AS (SELECT *, shared::DOUBLE / n AS overlap, 2 * shared::DOUBLE / (n + m) AS dice FROM p WHERE shared::DOUBLE / n >= 0.25)
 SELECT page_id, other, shared, round(overlap, 6) AS overlap, round(dice, 6) AS dice FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY overlap DESC, dice DESC, other) AS r FROM s) WHERE r = 1"""
 
@@ -109,7 +113,7 @@ QUERIES = {
 }
 SQL = {
     "page_titles": TITLES,
-    "plain_text": "SELECT doc_id, " + SQUEEZE.format("('  A' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || chr(9) || 'b ' || text || ' ' || chr(10) || chr(10) || chr(10) || chr(10))") + " AS text FROM documents",
+    "plain_text": "SELECT doc_id, " + SQUEEZE.format("('  A' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || chr(9) || 'b ' || text || " + quoted(AFTER_PLAIN) + ")") + " AS text FROM documents",
     "prose_length": r"SELECT doc_id, length(trim(regexp_replace(regexp_replace('## Head' || chr(10) || '- **a** b' || chr(10) || '1. c' || chr(10) || text, '(?m)\*\*|^#{1,6} |^(?:[-*•+]|\d{1,2}[.)]) ', '', 'g'), '\s+', ' ', 'g')))::BIGINT AS prose FROM documents",
     "title_key_match": MATCH_SQL,
 }

@@ -134,3 +134,82 @@ def test_conditional():
 def test_bins(spark):
     rows = spark.createDataFrame([(x,) for x in (79, 80, 129, 130, 400, 800, 801)], "n long").select(tokens.length_bin(F.col("n"))).collect()
     assert [r[0] for r in rows] == [-1, 0, 0, 1, 3, 3, -1]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>&gt; they said so</p><p>I say no</p>", "I say no"),
+        ("one<br>&gt; theirs\nmine", "one\nmine"),
+        ("I do not agree.<p>&gt; typed by them\nBut I typed this.<p><i>&gt; also theirs</i><p>End.", "I do not agree.\n\nBut I typed this.\n\nEnd."),
+        ("<p>&gt; Their line goes\n  on and\n  on.\nMine.", "Mine."),
+        ("<p>From 3 to &gt;9 of them.", "From 3 to >9 of them."),
+        ("<p>never <code>closed stays", "never closed stays"),
+        ("<blockquote><pre>x</blockquote>after", "after"),
+        ("<pre>a</pre>b<PRE>c</PRE >d", "b\nd"),
+        ("<blockquote>a<blockquote>b</blockquote>c</blockquote>d", "d"),
+        ("a<b> bold </b>c", "a **bold** c"),
+        ("<b>x <i>y </i></b>z", "**x y **z"),
+        ("<!-- <p>x --><p>y", "y"),
+        ("&amp;lt; &#151; &#x41; &#0; &nope;", "&lt; — A � &nope;"),
+        (None, None),
+        ("", ""),
+    ],
+)
+def test_html_of_others(html, text):
+    assert normalize.html_text(html) == text
+
+
+def test_sentences_around():
+    import re
+
+    from inkmeter.functions.sentences import matches_in_sentences
+
+    near = lambda text, word: matches_in_sentences(text, re.compile(word, re.A | re.I))
+    assert near("One. Two  words\there! Three", r"\bwords\b") == ["Two words here!"]
+    assert near("words\nmore words", "words") == ["words", "more words"]
+    long = "a" * 300 + " word " + "b" * 300 + ". End"
+    got = near(long, r"\bword\b")
+    assert len(got) == 1 and got[0][0] == got[0][-1] == "…" and " word " in got[0] and len(got[0]) == 242
+    assert near("word " + "b" * 300, r"\bword\b") == ["word " + "b" * 235 + "…"]
+    assert near("", "x") == []
+
+
+@pytest.mark.parametrize("a, p, x", [(1.0, 0.025, 0.0253178), (10.0, 0.025, 4.795389), (11.0, 0.975, 18.39036), (0.5, 0.5, 0.2274682), (1000.0, 0.975, 1062.93)])
+def test_gamma_quantile(a, p, x):
+    got = stats.gamma_quantile(a, p)
+    assert got == pytest.approx(x, rel=1e-5) and stats.gamma_p(a, got) == pytest.approx(p, rel=1e-9)
+
+
+@pytest.mark.parametrize("p", [0.9, 0.5, 0.05, 0.04, 1e-3, 1e-9, 1e-40, 1e-250])
+def test_deviate(p):
+    assert stats.tail(stats.deviate(p)) == pytest.approx(p, rel=1e-9)
+    assert stats.deviate(1.0) == 0 and 38 < stats.deviate(0.0) < 39
+
+
+def test_words_that_matches_hold(spark):
+    """The search for plain strings never hides a match."""
+    from inkmeter.functions.markers import COUNTABLE, readable
+
+    texts = [
+        "It is (also) worth noting. It's IMPORTANT to note.", "IN TODAY’S world; in todays", "not only but also; NOT ONLY x but y also", "this isnt luck — this is; That's not only a b, it's", "let us explore; Dive into; let's take a look",
+        "To sum things up, In sum: in summary to conclude, to summarise:", "a -- b --- c—d on - the  - x – y (ab) - \"x", "one, two and three. A, b c d, or e. x, y, and z", "Delving tapestries MOREOVER Furthermore crucially realms showcased underscoring leverage",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for m in COUNTABLE:
+        got = df.select(m.count(F.col("t")), F.regexp_count(readable(F.col("t")), F.lit(m.pattern))).collect()
+        assert [r[0] for r in got] == [r[1] for r in got], m.id
+
+
+def test_cleaning_by_writer(spark):
+    from inkmeter.plans.clean_plans import cleaned_by_writer
+
+    fine = "this is a text of the kind that people write and it ends as it should end. " * 3
+    rows = [
+        ("person", 1, fine, None, None), ("person", 2, fine, None, None), ("gpt4", 1, fine, "gpt4", 0.1), ("gpt4", 2, fine, "gpt4", 0.1), ("gpt4", 3, "Sure, here's a possible post: " + fine, "gpt4", 0.1),
+        ("gpt4", 4, fine, "gpt4", 0.6), ("gpt4", 5, fine, "gpt4", None), ("claude", 3, "Sure, here's a possible post: " + fine, "claude", 0.5), ("claude", 6, "ein Text in einer anderen Sprache ohne jedes Wort", "claude", 0.0), ("person", 6, fine, None, None),
+    ]
+    df = spark.createDataFrame(rows, "writer string, doc long, text string, model string, containment double")
+    got = {r.writer: tuple(r)[1:] for r in cleaned_by_writer(df, spark.createDataFrame([(2,)], "doc long")).collect()}
+    # texts, date, language, truncated, meta, remembered, unchecked, kept
+    assert got == {"person": (3, 1, 1, 0, 0, 0, 0, 1), "gpt4": (5, 1, 0, 0, 1, 1, 1, 2), "claude": (2, 0, 1, 0, 0, 0, 0, 1)}
