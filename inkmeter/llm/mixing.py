@@ -86,20 +86,23 @@ def _on(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
 
 
 def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], share: float = 0.5, max_epochs: int = 4, seed: int = 20) -> DataFrame:
-    """The columns of ``docs`` and ``_domain``, ``_epoch``, ``_tokens``, ``_taken`` of each row taken.
-
-    ``docs`` has doc_id, text, lang and source. A row comes once per epoch that
-    takes it. Tokens are runs of non-blanks; ``_taken`` is less than ``_tokens``
-    only for the document in which a leaf's prefix ends. The budget is
-    ``share`` of all tokens there are. Texts without tokens and null texts have
-    no tokens; they come in whole epochs and where their hash lies before the
-    prefix's end. Null names are names of their own. Rows of equal doc_id are
-    taken together. Columns of ``docs`` whose names start with ``_`` may clash
-    and should be renamed first.
+    """doc (the whole row of ``docs``), domain, epoch, n_tokens and taken of each row taken.
+
+    ``docs`` has doc_id, text, lang and source, and any other columns, which
+    come back inside ``doc`` and so clash with nothing. A row comes once per
+    epoch that takes it. Tokens are runs of non-blanks; ``taken`` is less than
+    ``n_tokens`` only for the document in which a leaf's prefix ends. The
+    budget is ``share`` of all tokens there are. Texts without tokens and null
+    texts have no tokens; they come in whole epochs and where their hash lies
+    before the prefix's end. Null names are names of their own. Rows of equal
+    doc_id, and all of null doc_id, are taken together. An empty table gives no
+    rows.
     """
     key = ["domain", "lang", "source"]
-    named = docs.withColumn("_domain", domain)
-    small = cut(named.select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias("id"), F.col("_domain").alias("domain"), "lang", "source", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens")))
+    tokens = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long")
+    id_ = F.coalesce(F.col("doc_id"), F.lit(-1))
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), id_.alias("id"), domain.alias("domain"), F.col("lang").alias("lang"), F.col("source").alias("source"), tokens.alias("tokens"))
+    small = cut(named.drop("doc"))
     leaves = small.groupBy(*key).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = quotas(leaves, weights, share * total, max_epochs)
@@ -110,19 +113,19 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], share:
     def spot(id_: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("whole"), id_), 1)
 
-    def planned(df: DataFrame, plan: DataFrame, names: list[str]) -> DataFrame:
+    def planned(df: DataFrame, plan: DataFrame) -> DataFrame:
         plan = F.broadcast(plan) if plan.count() <= BROADCAST_LEAVES else plan
         match = F.lit(True)
-        for c, mine in zip(key, names, strict=True):
-            match = match & F.col(mine).eqNullSafe(F.col(f"p_{c}"))
+        for c in key:
+            match = match & F.col(c).eqNullSafe(F.col(f"p_{c}"))
         return df.join(plan, match, "left").drop(*(f"p_{c}" for c in key))
 
-    marked = planned(small, plan.where("left > 0"), key).where("left > 0").withColumn("u", spot(F.col("id"))).withColumn("r", F.shiftright("u", 63 - RANGE_BITS))
+    marked = planned(small, plan.where("left > 0")).where("left > 0").withColumn("u", spot(F.col("id"))).withColumn("r", F.shiftright("u", 63 - RANGE_BITS))
     ranges = marked.groupBy(*key, "left", "r").agg(F.sum("tokens").alias("t"))
     upto = W.partitionBy(*key).orderBy("r")
     ranges = ranges.withColumn("after", F.sum("t").over(upto)).where("after >= left and after - t < left")
     ends = cut(ranges.select(*(F.col(c).alias(f"p_{c}") for c in key), "r", (F.col("left") - F.col("after") + F.col("t")).alias("need")))
-    inside = planned(marked.withColumnRenamed("r", "own"), ends, key).where("own = r").groupBy(*key, "need", "u").agg(F.sum("tokens").alias("t"))
+    inside = planned(marked.withColumnRenamed("r", "own"), ends).where("own = r").groupBy(*key, "need", "u").agg(F.sum("tokens").alias("t"))
     inside = inside.withColumn("after", F.sum("t").over(W.partitionBy(*key).orderBy("u"))).where("after >= need and after - t < need")
     ends = inside.select(*(F.col(c).alias(f"e_{c}") for c in key), F.col("u").alias("end"), (F.col("need") - F.col("after") + F.col("t")).alias("last"))
     match = F.lit(True)
@@ -130,13 +133,10 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], share:
         match = match & F.col(f"p_{c}").eqNullSafe(F.col(f"e_{c}"))
     plan = cut(plan.join(ends, match, "left").select(*(f"p_{c}" for c in key), "whole", F.coalesce("end", F.lit(-1)).alias("end"), "last"))
 
-    rows = planned(named, plan, ["_domain", "lang", "source"])
-    u = spot(F.coalesce(F.col("doc_id"), F.lit(-1)))
-    rows = rows.withColumn("_u", u).withColumn("_times", F.col("whole") + (F.col("_u") <= F.col("end")).cast("int")).where("_times > 0")
-    tokens = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long")
-    rows = rows.withColumn("_tokens", tokens).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    taken = F.when((F.col("_epoch") == F.col("whole")) & (F.col("_u") == F.col("end")), F.least("_tokens", "last")).otherwise(F.col("_tokens"))
-    return rows.select(*docs.columns, "_domain", "_epoch", "_tokens", taken.alias("_taken"))
+    rows = planned(named, plan).withColumn("u", spot(F.col("id"))).withColumn("times", F.col("whole") + (F.col("u") <= F.col("end")).cast("int")).where("times > 0")
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    taken = F.when((F.col("epoch") == F.col("whole")) & (F.col("u") == F.col("end")), F.least("tokens", "last")).otherwise(F.col("tokens"))
+    return rows.select("doc", "domain", "epoch", F.col("tokens").alias("n_tokens"), taken.alias("taken"))
 
 
 def domain_of() -> Column:
@@ -152,11 +152,15 @@ WEIGHTS = {
 
 
 def mixed_once(docs: DataFrame, share: float = 0.8) -> DataFrame:
-    """``docs`` cut down to the production weights, each row at most once."""
-    return mix(docs, domain_of(), WEIGHTS, share, 1).select(*docs.columns)
+    """``docs`` cut down to the production weights, each row at most once.
+
+    Whole documents are kept: that in which a leaf's prefix ends too, so a leaf
+    may exceed its budget by a part of one document.
+    """
+    return mix(docs, domain_of(), WEIGHTS, share, 1).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = mix(docs, domain_of(), WEIGHTS)
-    return out.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("n_tokens"), F.col("_taken").alias("taken"))
+    return out.select("doc.doc_id", "domain", "doc.lang", "doc.source", "epoch", "n_tokens", "taken")
