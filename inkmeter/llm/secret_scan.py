@@ -79,52 +79,117 @@ def train(labelled: DataFrame) -> list[float]:
     return [math.log(counts[True][i] / totals[True][i // n]) - math.log(counts[False][i] / totals[False][i // n]) for i in range(n * n)]
 
 
+#: Characters of a piece in which long strings are taken apart, and elements of a block of a running fold.
+PIECE, BLOCK = 1024, 256
+
+
+def pieces(text: Column) -> Column:
+    """array<string>: a text in pieces of ``PIECE`` code points, from one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
 def ratio(token: Column, model: Column) -> Column:
-    """Mean log-likelihood ratio of a token's transitions; above 0: likelier random."""
+    """Mean log-likelihood ratio of a token's transitions; above 0: likelier random.
+
+    A token is taken apart in pieces, each with the character after it, so time
+    is linear in its length and only a piece's characters are held.
+    """
     n = len(ALPHABET)
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(token)), lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1)
-    return let(
-        codes,
-        lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(model, F.element_at(c, i) * n + F.element_at(c, i + 1) + 1)) / (F.size(c) - 1),
-    )
+    code = lambda c: F.instr(F.lit(ALPHABET), c) - 1
+
+    def total(piece: Column) -> Column:
+        codes = F.transform(F.split(piece, ""), code)
+        return let(codes, lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(model, F.element_at(c, i) * n + F.element_at(c, i + 1) + 1)))
+
+    def over(parts: Column) -> Column:
+        linked = F.transform(parts, lambda x, i: F.concat(x, F.coalesce(F.substring(F.get(parts, i + 1), 1, 1), F.lit(""))))
+        sums = F.transform(F.filter(linked, lambda x: F.char_length(x) > 1), total)
+        return F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + x)
+
+    return let(pieces(token), over) / (F.char_length(token) - 1)
+
+
+def running(values: Column, merge, zero: Column) -> Column:
+    """For each element of an array of integers, ``merge`` of all before it, from ``zero`` on.
+
+    Folds run in blocks, and once more over the blocks' results, so that what
+    a fold copies stays small beside the input.
+    """
+
+    def fold(block: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, start, lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / BLOCK).cast("int"))
+    folds = F.transform(blocks, lambda b: fold(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+    starts = lambda all_: fold(F.transform(all_, lambda x: x["at"]))["out"]
+    placed = lambda all_: F.flatten(F.zip_with(all_, starts(all_), lambda x, at: F.transform(x["out"], lambda v: merge(at, v))))
+    return let(folds, placed)
 
 
 NONE = "array<struct<s:int,k:int,e:int>>"
 
 
+def _none() -> Column:
+    return F.array().cast(NONE)
+
+
 def spans(text: Column, pattern: str, kind: int, group: int = 0, keep=None) -> Column:
     """array<struct<s, k, e>>: the leftmost non-overlapping matches that ``keep`` accepts.
 
     What the pattern splits and what it extracts alternate, so the places
     follow from the lengths, in code points.
     """
-    got = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
+    gaps = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+
+    def placed(z: Column) -> Column:
+        whole = F.transform(z, lambda x: F.char_length(x["gap"]) + F.char_length(x["m"]))
+        ends = let(whole, lambda n: running(n, lambda a, b: a + b, F.lit(0)))
 
-    def walk(acc, x):
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["m"])
-        found = F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e")))
-        good = x["m"].isNotNull() if keep is None else x["m"].isNotNull() & keep(x["g"])
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(good, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+        def one(x: Column, before: Column) -> Column:
+            start = before + F.char_length(x["gap"])
+            return F.struct(start.alias("s"), F.lit(kind).alias("k"), (start + F.char_length(x["m"])).alias("e"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(NONE).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(got, zero, walk, lambda acc: acc["out"])).otherwise(F.array().cast(NONE))
+        kept = F.transform(z, lambda x: F.lit(True) if keep is None else keep(x["g"]))
+        made = let(ends, lambda at: F.transform(z, lambda x, i: one(x, F.get(at, i))))
+        return F.transform(F.filter(F.arrays_zip(made.alias("span"), kept.alias("kept")), lambda x: x["kept"]), lambda x: x["span"])
+
+    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("m"), groups.alias("g")), lambda x: x["m"].isNotNull())
+    return F.when(text.rlike(pattern), let(zipped, placed)).otherwise(_none())
+
+
+def apart(base: Column, judged: Column) -> Column:
+    """``base`` and those of ``judged`` (kind 3) that no base span touches, in order of start, then kind."""
+
+    def kept(every: Column) -> Column:
+        is_base = lambda x: x["k"] < 3
+        far = 1 << 30
+        past = running(F.transform(every, lambda x: F.when(is_base(x), x["e"]).otherwise(0)), F.greatest, F.lit(0))
+        coming = F.reverse(running(F.reverse(F.transform(every, lambda x: F.when(is_base(x), x["s"]).otherwise(far))), F.least, F.lit(far)))
+        marked = F.arrays_zip(every.alias("x"), past.alias("past"), coming.alias("coming"))
+        return F.transform(F.filter(marked, lambda v: is_base(v["x"]) | ((v["past"] <= v["x"]["s"]) & (v["coming"] >= v["x"]["e"]))), lambda v: v["x"])
+
+    every = F.array_sort(F.concat(base, judged))
+    return F.when((F.size(base) == 0) | (F.size(judged) == 0), every).otherwise(let(every, kept))
 
 
 def secret_spans(text: Column, model: list[float]) -> Column:
     """All spans of a text, in order of start, then kind.
 
-    Null texts count as empty. A run that a base span touches is not judged again.
+    Null texts count as empty. A run that a base span touches is not judged
+    again. Time is linear in the text and its spans, but for sorting them.
     """
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
     text = F.coalesce(text, F.lit(""))
     base = F.concat(
         spans(text, ASSIGN, 0, 1, lambda value: F.char_length(value) >= LEAST_VALUE),
-        F.when(F.contains(text, F.lit("AKIA")), spans(text, ACCESS, 1)).otherwise(F.array().cast(NONE)),
+        F.when(F.contains(text, F.lit("AKIA")), spans(text, ACCESS, 1)).otherwise(_none()),
         spans(text, HEX, 2),
     )
     judged = spans(text, CANDIDATE, 3, 0, lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]") & (ratio(t, table) >= LEAST_RATIO))
-    return let(base, lambda b: F.array_sort(F.concat(b, F.filter(judged, lambda x: ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))))
+    return let(base, lambda b: let(judged, lambda j: apart(b, j)))
 
 
 def _listed(found: Column) -> Column:
@@ -146,21 +211,26 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret's span replaced by ``mark``; no row goes.
 
     Overlapping spans are replaced once. Where there is a column n_chars, it is
-    set to the new length of a changed text. Null texts stay null.
+    set to the new length of the text. Null texts stay null.
     """
     model = train(samples(docs.sparkSession))
     text = F.col("text")
 
-    def step(acc, x):
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+    def between(parts: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / PIECE).cast("int"), F.floor(F.greatest(end - 1, start) / PIECE).cast("int")
+        return F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), start - first * PIECE + 1, end - start)
 
     def rebuilt(found: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        return F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+        def joined(before: Column, parts: Column) -> Column:
+            kept = F.transform(found, lambda x, i: F.when(F.get(before, i) <= x["s"], F.concat(between(parts, F.get(before, i), x["s"]), F.lit(mark))).otherwise(""))
+            done = F.array_max(F.transform(found, lambda x: x["e"]))
+            return F.concat(F.array_join(kept, ""), between(parts, done, F.char_length(text)))
+
+        before = running(F.transform(found, lambda x: x["e"]), F.greatest, F.lit(0))
+        return let(before, lambda b: let(pieces(text), lambda p: joined(b, p)))
 
     new = let(secret_spans(text, model), lambda found: F.when(F.size(found) > 0, rebuilt(found)).otherwise(text))
-    out = docs.select(*(new.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    out = docs.select(*(new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out
