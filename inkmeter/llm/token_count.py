@@ -45,6 +45,7 @@ class Counter:
         for piece, score in pieces:
             self.auto.add_word(piece, (len(piece), score))
         self.auto.make_automaton()
+        self.ring = max(len(piece) for piece, _ in pieces) + 1
         self.unknown = min(score for _, score in pieces) - UNKNOWN_COST
         self.words = Recent(self.marked, CACHE)
 
@@ -55,26 +56,33 @@ class Counter:
         return sum([n for n, _ in got]), sum([x for _, x in got])
 
     def word(self, word: str) -> tuple[int, float]:
-        """Number of pieces and score of the best split of one marked word."""
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(len(word) + 1)]
-        for end, match in self.auto.iter(word):
-            ends[end + 1].append(match)
-        best, count, odd = [0.0], [0], [False]
+        """Number of pieces and score of the best split of one marked word.
+
+        Only as many places as the longest piece has characters are held.
+        """
+        ring, matches, unknown = self.ring, self.auto.iter(word), self.unknown
+        best, count, odd = [0.0] * ring, [0] * ring, [False] * ring
+        coming = next(matches, None)
         for end in range(1, len(word) + 1):
+            here = []
+            while coming is not None and coming[0] + 1 == end:
+                here.append(coming[1])
+                coming = next(matches, None)
+            here.sort(reverse=True)
             top, n, is_odd, single = None, 0, False, False
-            for size, score in sorted(ends[end], reverse=True):
+            for size, score in here:
                 single |= size == 1
-                got = best[end - size] + score
+                got = best[(end - size) % ring] + score
                 if top is None or got > top:
-                    top, n, is_odd = got, count[end - size] + 1, False
+                    top, n, is_odd = got, count[(end - size) % ring] + 1, False
             if not single:
-                got = best[end - 1] + self.unknown
+                before = (end - 1) % ring
+                got = best[before] + unknown
                 if top is None or got > top:
-                    top, n, is_odd = got, count[end - 1] + (not odd[end - 1]), True
-            best.append(top)
-            count.append(n)
-            odd.append(is_odd)
-        return count[-1], best[-1]
+                    top, n, is_odd = got, count[before] + (not odd[before]), True
+            at = end % ring
+            best[at], count[at], odd[at] = top, n, is_odd
+        return count[len(word) % ring], best[len(word) % ring]
 
     def text(self, text: str | None) -> tuple[int, float]:
         """Number of pieces and total score of a text."""
