@@ -22,6 +22,8 @@ from .common import cut, shared_dir
 
 LEAST_REVISIT = 100
 SPLIT = 8 << 20
+#: Reading tasks per core, at most; a task reads several ranges of a large archive.
+WAVES = 16
 #: Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -171,6 +173,7 @@ def read_warc(spark: SparkSession, files: DataFrame, split: int = SPLIT, payload
     """
     ranges = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
     count = max(1, files.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 1)
+    count = min(count, WAVES * spark.sparkContext.defaultParallelism)
 
     def run(batches):
         for batch in batches:
