@@ -13,6 +13,8 @@ A signature's bucket may be of any size: it is cut into blocks of about
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +24,20 @@ from .common import connected_components, cut
 
 TABLES, BITS, BLOCK, SEED = 20, 11, 1024, 7
 LEAST_COSINE = 0.9
+#: Nodes that a bucket of unlike vectors holds on average, at most, and the recall wanted of pairs at the least cosine.
+FILL, RECALL = 32, 0.97
+
+
+def meeting(bits: int) -> float:
+    """The probability that two vectors at the least cosine agree on one table's signature."""
+    return (1 - math.acos(LEAST_COSINE) / math.pi) ** bits
+
+
+def layout(nodes: int) -> tuple[int, int]:
+    """(tables, bits) for so many nodes: bits grow with their logarithm, so that work
+    grows little faster than their number, and tables with what the bits cost in recall."""
+    bits = min(30, max(BITS, math.ceil(math.log2(max(1, nodes) / FILL))))
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log1p(-meeting(bits)))), bits
 
 
 def planes(width: int, tables: int, bits: int, seed: int) -> np.ndarray:
@@ -90,13 +106,14 @@ def _compare(key, table):
     return pa.table({"id": pa.array(ids[some]), "links": pa.array(count[some].astype(np.int64)), "root": pa.array(ids[some[root]])})
 
 
-def near_duplicates(vectors: DataFrame, tables: int = TABLES, bits: int = BITS, seed: int = SEED) -> DataFrame:
+def near_duplicates(vectors: DataFrame, tables: int | None = None, bits: int | None = None, seed: int = SEED) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero or hold null or non-finite components link with
     nothing. No link below cosine 0.9 is made; a pair at 0.9 meets in some
-    table with probability ``1 - (1 - 0.856**bits)**tables`` (0.98 by default),
-    a closer pair with a higher one. Equal vectors always link. Repeated
+    table with probability ``1 - (1 - 0.856**bits)**tables`` (0.98 with 20
+    tables of 11 bits, which ``layout`` chooses up to 65,536 vectors, and at
+    least 0.97 beyond), a closer pair with a higher one. Equal vectors always link. Repeated
     vec_ids are rows of their own; a null vec_id links with nothing. Other
     columns of ``vectors`` are ignored.
     """
@@ -104,6 +121,8 @@ def near_duplicates(vectors: DataFrame, tables: int = TABLES, bits: int = BITS,
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))) & F.exists("embedding", lambda x: x != 0)
     good = rows.where(F.coalesce(fine, F.lit(False)))
     reps = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
+    chosen = layout(reps.count())
+    tables, bits = tables or chosen[0], bits or chosen[1]
     members = good.join(reps.select("embedding", "id"), "embedding").select("vec_id", "id")
     nodes = _signed(reps, tables, bits, seed)
     sig = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.struct(t.alias("t"), F.substring("sigs", t * 4 + 1, F.lit(4)).alias("sig")))
