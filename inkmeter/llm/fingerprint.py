@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from .common import let
 
 K, WINDOW = 5, 8
+#: Bytes of text that weigh as one when ranges are cut.
+UNIT = 2048
 #: A choice is packed as 36 bits of hash and 27 bits of position counted from the right.
 POSITIONS = 1 << 27
 TOKEN = r"[\p{L}\p{N}\p{M}]{1,16}"
@@ -72,14 +74,16 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Each row of ``docs`` (doc_id, ...) with the next row's columns, prefixed ``next_``.
 
     Next is in descending doc_id; after the last comes the first. The rows are
-    dealt by ranges of doc_id whose bounds are ids that occur, from one pass
-    over that column; a bound's row is also sent to the range above, whose last
-    row it follows. So the texts are shuffled once, and no task sees all rows.
-    Rows with a null doc_id come after the smallest id. Rows of equal doc_id
-    are in order of text.
+    dealt by ranges of doc_id whose bounds are ids that occur, from one pass in
+    which a row counts by the bytes of its text, so that ranges are of like
+    size; a bound's row is also sent to the range above, whose last row it
+    follows. So the texts are shuffled once, and no task sees all rows. Rows
+    with a null doc_id come after the smallest id. Rows of equal doc_id are in
+    order of text, in one range.
     """
     spot = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    found = docs.select(spot.alias("d")).agg(F.percentile_approx("d", F.array(*(F.lit(i / parts) for i in range(1, parts + 1))), F.lit(100 * parts)).alias("at"), F.max("d").alias("top")).first()
+    weight = F.least(F.octet_length("text") / UNIT, F.lit(1 << 16)).cast("int") + 1
+    found = docs.select(F.explode(F.array_repeat(spot, weight)).alias("d")).agg(F.percentile_approx("d", F.array(*(F.lit(i / parts) for i in range(1, parts + 1))), F.lit(100 * parts)).alias("at"), F.max("d").alias("top")).first()
     bounds = sorted({*(found["at"] or []), *([found["top"]] if found["top"] is not None else [])})
     if not bounds:
         bounds = [0]
