@@ -213,15 +213,21 @@ def test_fill(spark):
 def test_mix(spark, docs, empty):
     rows = spark.createDataFrame([(i, "w " * (i % 7 + 1), ["en", None][i % 2], f"src{i % 3}", 0) for i in range(300)], docs.schema)
     out = mixing.mix(rows, mixing.domain_of(), mixing.WEIGHTS, 0.5, 3).collect()
-    assert sum(r._taken for r in out) == pytest.approx(0.5 * sum(i % 7 + 1 for i in range(300)), abs=8)
-    assert len({(r.doc_id, r._epoch) for r in out}) == len(out) and max(r._epoch for r in out) <= 2
-    for leaf in {(r.lang, r.source) for r in out}:  # an epoch begins only when the one before is whole
-        mine = [r for r in out if (r.lang, r.source) == leaf]
-        last = max(r._epoch for r in mine)
+    assert sum(r.taken for r in out) == pytest.approx(0.5 * sum(i % 7 + 1 for i in range(300)), abs=8)
+    assert len({(r.doc.doc_id, r.epoch) for r in out}) == len(out) and max(r.epoch for r in out) <= 2
+    for leaf in {(r.doc.lang, r.doc.source) for r in out}:  # an epoch begins only when the one before is whole
+        mine = [r for r in out if (r.doc.lang, r.doc.source) == leaf]
+        last = max(r.epoch for r in mine)
         whole = sum((r.lang, r.source) == leaf for r in rows.collect())
-        assert all(sum(r._epoch == e for r in mine) == whole for e in range(last))
-        assert sum(r._taken < r._tokens for r in mine) <= 1
+        assert all(sum(r.epoch == e for r in mine) == whole for e in range(last))
+        assert sum(r.taken < r.n_tokens for r in mine) <= 1
     assert mixing.mix(empty, mixing.domain_of(), mixing.WEIGHTS).count() == 0
+    # Names that the operator uses itself clash with nothing.
+    odd = rows.withColumns({c: F.concat(F.lit("own "), F.col("doc_id").cast("string")) for c in ("last", "whole", "end", "_u", "domain", "tokens", "p_lang", "epoch", "a.b")})
+    kept = mixing.mixed_once(odd)
+    assert kept.columns == odd.columns
+    assert all(r["last"] == r["_u"] == r["a.b"] == f"own {r.doc_id}" for r in kept.collect())
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in mixing.mixed_once(rows).collect())
 
 
 def test_warc(spark, tmp_path):
@@ -297,3 +303,96 @@ def test_embedding_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     got = embedding_dedup.near_duplicates(df, tables=8, bits=4).collect()
     assert {r.n_links for r in got} == {99} and {r.component_id for r in got} == {0}
+
+
+def test_embeddings_at_the_threshold(spark):
+    """Pairs at cosine 0.90 to 0.92, the hardest there are: none below, most of the others."""
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((400, 64))
+    b -= (b * a).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cos = np.linspace(0.88, 0.92, 400)[:, None]
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    n = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    assert all(n[i] <= k for i, k in enumerate(links.sum(1)))
+    recall = sum(n.values()) / links.sum()
+    print(f"recall at 0.90 to 0.92: {recall:.3f}")
+    assert recall >= 0.93
+
+
+def test_embedding_layout():
+    assert embedding_dedup.layout(60_000) == (20, 11)
+    for nodes in (1, 10**6, 10**9, 10**11):
+        tables, bits = embedding_dedup.layout(nodes)
+        assert 1 - (1 - embedding_dedup.meeting(bits)) ** tables >= 0.97
+        assert nodes / 2**bits <= embedding_dedup.FILL or bits == 30
+
+
+def test_license_rules_hold_their_keywords():
+    """Every rule matches some text, and its keyword is a word of whatever it matches."""
+    scanner = license_scan.Scanner()
+    for rule in license_scan.rules():
+        text = rule.pattern.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )")
+        rnd = random.Random(text)
+        for _ in range(6):
+            made = sample(re._parser.parse(text, re.A), rnd)
+            assert rule.pattern.fullmatch(b" " + made.encode() + b" ", 1, len(made) + 1) or rule.pattern.search(b" " + made.encode() + b" "), text
+            assert rule.keyword.decode() in made.split(), (rule.label, text, made)
+            assert scanner.scan(made)[3], made
+
+
+def sample(tree, rnd):
+    """A string that a parsed pattern matches."""
+    out = []
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "IN":
+            kind, value = rnd.choice([x for x in arg if str(x[0]) in ("LITERAL", "RANGE", "CATEGORY")])
+            out.append(chr(value) if str(kind) == "LITERAL" else chr(rnd.randint(*value)) if str(kind) == "RANGE" else "w")
+        elif name in ("CATEGORY", "NOT_LITERAL"):
+            out.append("w")
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            out.extend(sample(inner, rnd) for _ in range(rnd.randint(low, min(high, low + 2))))
+        elif name == "SUBPATTERN":
+            out.append(sample(arg[-1], rnd))
+        elif name == "BRANCH":
+            out.append(sample(rnd.choice(arg[1]), rnd))
+        else:
+            raise ValueError(name)
+    return "".join(out)
+
+
+def test_license_brute_force():
+    """Suppression equals a plain comparison of all detections; time is linear."""
+    import time
+
+    scanner, rnd = license_scan.Scanner(), random.Random(4)
+    names = ["mit license", "apache license version 2 0", "licensed under the", "gnu general public license v3", "bsd license", "word", "spdx license identifier mit", "cc by sa 4 0", "all rights reserved"]
+    for _ in range(60):
+        text = " ".join(rnd.choice(names) for _ in range(rnd.randint(1, 14)))
+        data = b" " + text.encode() + b" "
+        found = [(m.start(), m.end(), r.rank, i, r) for i, r in enumerate(license_scan.rules()) if r.keyword in data.split() for m in r.pattern.finditer(data)]
+        kept = []
+        for x in sorted(found, key=lambda x: (x[2], x[0] - x[1], x[3])):
+            if not any(a <= x[0] and x[1] <= b for a, b, *_ in kept):
+                kept.append(x)
+        want = sorted((data[: a].count(b" ") - 1, data[:b].count(b" "), r.label, r.confidence) for a, b, _, _, r in kept)
+        n, starts, labels, got = scanner.scan(text)
+        words = text.split()
+        assert n == len(words) and sorted(got) == want
+        assert sorted(starts) == sorted(i for p, _ in license_scan.BASE for i in range(n) if words[i : i + len(p.split())] == p.split())
+    assert scanner.scan(" ".join(names))[3]
+    took = []
+    for k in (40, 160):
+        began = time.perf_counter()
+        scanner.scan(" ".join(names) * 25 * k)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
