@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir
+
 
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
@@ -23,25 +24,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only on one machine (a local master, as in tests) is a folder made where
-    the session names none; on a cluster that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    at = sc._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get()
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="inkmeter-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 class Table:
     """A DataFrame written once as Parquet in the shared folder; ``drop`` deletes it."""
 
@@ -56,20 +38,6 @@ class Table:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    Spark removes the shuffle files of finished steps when the driver's garbage
-    is collected; a long job asks for that here, so that disk use follows the
-    largest step and not the sum of all.
-    """
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of ``edges`` (a, b): the smallest reachable id.
 

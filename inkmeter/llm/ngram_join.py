@@ -353,9 +353,19 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     as it was there.
     """
     found = ngram_components(docs, k, percent)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
+
+
+#: All pairs that share a shingle, for small tables alone.
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0d]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS both_ FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * both_ >= 85 * (nx + ny - both_)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT DISTINCT doc_id, doc_id AS spot FROM g UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.spot = e.x)
+SELECT g.doc_id, len(g)::BIGINT AS n_shingles, component_id FROM g JOIN (SELECT doc_id, min(spot) AS component_id FROM r GROUP BY doc_id) USING (doc_id)"""

@@ -131,13 +131,15 @@ def slope(p: Sparse, u: Sparse, w: np.ndarray, prior: float, decay: float) -> np
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], names: np.ndarray, prior: float, epochs: int = 800, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Fit the non-negative risk on documents given as arrays of places in ``names``.
 
-    Without positives, unlabelled text or telling features the model scores the
-    prior. Empty documents are documents without features.
+    Without positives, unlabelled text or telling features nothing is learned:
+    all texts score alike, the prior or half the threshold, whichever is less,
+    and none is rejected. Empty documents are documents without features.
     """
     prior = min(max(prior, 1e-3), 0.5)
-    start = float(np.log(prior / (1 - prior)))
     if not len(names) or not unlabelled or not positive:
-        return Model({}, start)
+        same = min(prior, THRESHOLD / 2)
+        return Model({}, math.log(same / (1 - same)))
+    start = math.log(prior / (1 - prior))
     p, u = Sparse(positive, len(names)), Sparse(unlabelled, len(names))
     w = np.append(np.zeros(len(names)), start)
     mean, square = np.zeros_like(w), np.zeros_like(w)
@@ -226,11 +228,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents whose score reaches the threshold.
 
-    All columns stay, also ones that share a name with a score column.
+    All columns stay, under any name. Null and empty texts score as texts
+    without features; repeated rows go or stay alike.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     names = docs.columns
     at = names.index("text")
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
 
     def run(batches):
         cache = table_of(model)
@@ -238,7 +242,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [model.value.score(words_of(t.as_py()), cache) < THRESHOLD for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -215,3 +215,8 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+SQL = f"""WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {LEAST_REVISIT} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""
