@@ -45,11 +45,11 @@ def median_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A person's documents and a machine's edit of each, twice for every tenth."""
+    """A person's documents and a machine's edit of each that is not French, twice for every tenth."""
     docs = table(spark, sf_dir, "documents")
     a = docs.select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), length_bin(n_words(F.col("text"))).alias("bin"))
     text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" "), "text")).otherwise(F.concat("text", F.lit(" moreover")))
-    b = docs.where("doc_id % 3 <> 1").select(F.col("doc_id").alias("doc"), F.explode(F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"), text.alias("text"))
+    b = docs.where("lang <> 'fr'").select(F.col("doc_id").alias("doc"), F.explode(F.when(F.col("doc_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"), text.alias("text"))
     b = b.select("doc", (F.col("doc") * 10 + F.col("k")).alias("id"), (F.col("doc") * 10 + F.col("k")).alias("pos"), length_bin(n_words(F.col("text"))).alias("bin"))
     return a, b
 
@@ -57,7 +57,7 @@ def _shifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 BIN = "CASE WHEN {0} BETWEEN 80 AND 129 THEN 0 WHEN {0} BETWEEN 130 AND 219 THEN 1 WHEN {0} BETWEEN 220 AND 399 THEN 2 WHEN {0} BETWEEN 400 AND 800 THEN 3 ELSE -1 END"
 _W = "len(regexp_extract_all(lower(text), '[a-z''’]+'))"
 SHIFTED_SQL = f"""a AS (SELECT doc_id AS doc, doc_id AS id, {BIN.format(_W)} AS bin FROM documents),
-b0 AS (SELECT doc_id AS doc, unnest(CASE WHEN doc_id % 10 = 0 THEN [0, 1] ELSE [0] END) AS k, CASE WHEN doc_id % 4 = 0 THEN text || ' ' || text ELSE text || ' moreover' END AS text FROM documents WHERE doc_id % 3 <> 1),
+b0 AS (SELECT doc_id AS doc, unnest(CASE WHEN doc_id % 10 = 0 THEN [0, 1] ELSE [0] END) AS k, CASE WHEN doc_id % 4 = 0 THEN text || ' ' || text ELSE text || ' moreover' END AS text FROM documents WHERE lang <> 'fr'),
 b AS (SELECT doc, doc * 10 + k AS id, {BIN.format(_W)} AS bin FROM b0),
 ra AS (SELECT *, row_number() OVER (PARTITION BY doc, bin ORDER BY id) AS rn FROM a WHERE bin >= 0),
 rb AS (SELECT *, row_number() OVER (PARTITION BY doc, bin ORDER BY id) AS rn FROM b WHERE bin >= 0)"""
@@ -221,7 +221,7 @@ def evidence_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hit of each document, in hash order, at most five per arm and marker."""
-    first = hits(texts(spark, sf_dir), SHOWN).withColumn("r", F.row_number().over(W.partitionBy("marker", "doc_id").orderBy("k"))).where("r = 1")
+    first = hits(texts(spark, sf_dir), SHOWN).where("k = 0")
     order = W.partitionBy("arm", "marker").orderBy(order_key("examples", F.col("marker"), F.col("doc_id")), "doc_id")
     return first.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("arm", "marker", "rank", "doc_id", "form")
 

@@ -10,8 +10,9 @@ from .base import table
 
 
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("text", "doc_id", "lang", "source")
-    return R.keep_first(docs, ["text"], "doc_id").select("doc_id", "lang", "source")
+    """The first document of each text, told by digest; null texts are one text."""
+    docs = table(spark, sf_dir, "documents").select(F.coalesce(F.sha2("text", 256), F.lit("")).alias("key"), "doc_id", "lang", "source")
+    return R.keep_first(docs, ["key"], "doc_id").select("doc_id", "lang", "source")
 
 
 def exclusive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +26,15 @@ def allocate_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    """All orders but urgent ones, and all but low ones with every fifth price changed."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     price = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
-    return orders.where("o_orderkey % 3 <> 0"), orders.where("o_orderkey % 4 <> 0").withColumn("o_totalprice", price)
+    a, b = orders.where("o_orderpriority <> '1-URGENT'"), orders.where("o_orderpriority <> '5-LOW'").withColumn("o_totalprice", price)
+    return a.drop("o_orderpriority"), b.drop("o_orderpriority")
 
 
-HALVES_SQL = """a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 4 <> 0)"""
+HALVES_SQL = """a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '1-URGENT'),
+b AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW')"""
 
 
 def merge_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def frame_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as documents and their orders as versions."""
-    entries = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_custkey").alias("doc"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    entries = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
     corpus = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"))
     return R.dated_exclusions(entries, corpus, "1995-01-01", "1995-12-31")
 
@@ -63,7 +66,7 @@ SELECT source, lang, n, (fl + CASE WHEN rk <= lft THEN 1 ELSE 0 END)::BIGINT AS
   CASE WHEN a.o_totalprice IS NULL THEN 'added' WHEN b.o_totalprice IS NULL THEN 'orphan' WHEN a.o_totalprice = b.o_totalprice THEN 'same' ELSE 'replaced' END AS status FROM a FULL JOIN b USING (o_orderkey)""",
     "frame_diff": f"""WITH {HALVES_SQL} SELECT o_orderkey, CASE WHEN b.o_totalprice IS NULL THEN 'missing right' WHEN a.o_totalprice IS NULL THEN 'missing left' ELSE 'o_totalprice' END AS problem
 FROM a FULL JOIN b USING (o_orderkey) WHERE a.o_totalprice IS DISTINCT FROM b.o_totalprice""",
-    "dated_exclusions": """WITH e AS (SELECT o_custkey AS doc, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderkey % 7 <> 0),
+    "dated_exclusions": """WITH e AS (SELECT o_custkey AS doc, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders),
 k AS (SELECT doc, min(date) AS first, bool_or(date BETWEEN '1995-01-01' AND '1995-12-31') AS inside FROM e GROUP BY doc)
 SELECT c_custkey AS doc, first, CASE WHEN first IS NULL THEN 'not looked up' WHEN inside THEN 'excluded' ELSE 'kept' END AS status FROM customer LEFT JOIN k ON doc = c_custkey""",
 }
