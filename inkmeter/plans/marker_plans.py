@@ -120,8 +120,13 @@ def tallied(rows: DataFrame, names: list[str]) -> DataFrame:
     ``squares`` the sum of n * n / words. At most a row per arm, marker and
     length stratum, of which there are some hundred.
     """
+    return summed(counted(rows, names, ["arm", "stratum", "n_words"]))
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    """``tallied`` of counts that are there already (arm, marker, stratum, n_words, n)."""
     some, n, w = F.col("n_words") > 0, F.col("n"), F.col("n_words")
-    got = counted(rows, names, ["arm", "stratum", "n_words"]).groupBy("arm", "marker", "stratum")
+    got = counts.groupBy("arm", "marker", "stratum")
     square = n.cast("double") * n / F.nullif(w, F.lit(0))
     return got.agg(F.count("*").alias("texts"), F.count_if(some).alias("some"), F.sum(w).alias("words"), F.sum(n).alias("occurrences"), F.sum(F.when(some, n).otherwise(0)).alias("held"), F.coalesce(F.sum(square), F.lit(0.0)).alias("squares"))
 
