@@ -10,8 +10,9 @@ Following the back-pointers from the end gives the ids.
 
 The vocabulary is that of a ``tokenizers`` file with word ends (``</w>``):
 NFC, lower case, words split off by the file's pattern, bytes as characters.
-Words repeat, so each worker keeps the encodings of recent white-space chunks
-in a table of fixed size.
+Words repeat, so texts are taken in groups, whose new words are encoded once, in
+alphabetical order so that shared prefixes are too, and each worker keeps the
+encodings of recent white-space chunks in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Recent, held
+from .common import held
 
 END = "</w>"
 CACHE = 80_000
-#: Tokens of one output batch, about.
-SENT = 1 << 19
+#: Tokens of one output batch and characters of texts taken together, about; a word's length whose tables are kept.
+SENT, TAKEN, LONGEST = 1 << 19, 1 << 20, 1 << 10
+#: Characters of the longest chunk that is remembered.
+KEPT = 64
 #: The white space and the word pattern of the tokenizer file.
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
@@ -76,7 +79,7 @@ class Compiled:
         return [self.symbols[c] for c in token]
 
     def _automaton(self, words: list[list[int]]) -> None:
-        """The suffix automaton of all tokens, packed into one table of moves and arrays."""
+        """The suffix automaton of all tokens: moves, suffix links, lengths, and the tokens that end at each state."""
         step: list[dict[int, int]] = [{}]
         link, size = [-1], [0]
 
@@ -120,8 +123,7 @@ class Compiled:
         up = array("i", [-1]) * len(step)
         for v in sorted(range(1, len(step)), key=size.__getitem__):
             up[v] = link[v] if token[link[v]] >= 0 else up[link[v]]
-        self.moves = {v << 10 | c: to for v, row in enumerate(step) for c, to in row.items()}
-        self.link, self.size, self.token, self.up = array("i", link), array("i", size), token, up
+        self.moves, self.link, self.size, self.token, self.up = step, link, size, token, up
 
 
 class Encoder:
@@ -141,7 +143,9 @@ class Encoder:
         self.ends: list[list[tuple[int, int]] | None] = [None] * len(tables.size)
         self.ends[0] = []
         self.name = {str(i): t for i, t in zip(tables.ids, tables.names, strict=True)} | {str(i): t for t, i in tables.special.items()}
-        self.known = Recent(self._chunk, CACHE)
+        self.known: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self._forget()
 
     def _spine(self, token: int, side: int) -> list[int]:
         """What stood at one edge of ``token`` while it grew, oldest first."""
@@ -192,67 +196,126 @@ class Encoder:
         return known
 
     def word(self, text: str) -> list[int]:
-        """The tokens (by age) of one pre-token."""
+        """The tokens (by age) of one pre-token.
+
+        What was found for a prefix that the word before shares is taken over,
+        so words in alphabetical order cost little more than what is new in them.
+        """
         raw = text.encode("utf-8", "surrogatepass")
-        inner, moves, link, size, ends, fit, wide = self.inner, self.t.moves.get, self.t.link, self.t.size, self.ends, self.fit, self.wide
+        inner, moves, link, size, ends, fit, wide = self.inner, self.t.moves, self.t.link, self.t.size, self.ends, self.fit.get, self.wide
         spelled = [inner[x] for x in raw]
         spelled[-1] = self.final[raw[-1]]
-        last, back, state, length, end = [-1], [-1], 0, 0, 0
-        for c in spelled:
+        last, back, states, lengths = self.last, self.back, self.states, self.lengths
+        end = 0
+        for x, y in zip(self.before, spelled):  # noqa: B905
+            if x != y:
+                break
+            end += 1
+        self.before = spelled
+        del last[end + 1 :], back[end + 1 :], states[end + 1 :], lengths[end + 1 :]
+        state, length = states[end], lengths[end]
+        for c in spelled[end:]:
             end += 1
-            while (to := moves(state << 10 | c)) is None:
+            while c not in moves[state]:
                 state = link[state]
                 length = size[state]
-            state, length = to, length + 1
+            state = moves[state][c]
+            length += 1
             at = state if length == size[state] else link[state]
             for n, x in ends[at] or self._ends(at):
                 if n == end:
                     break
                 left = last[end - n]
-                ok = fit.get(left * wide + x)
-                if ok is None:
-                    ok = self.compatible(left, x)
-                if ok:
+                ok = fit(left * wide + x)
+                if ok or (ok is None and self.compatible(left, x)):
                     break
             last.append(x)
             back.append(end - n)
-        out, at = [], len(spelled)
+            states.append(state)
+            lengths.append(length)
+        out, at = [], end
         while at:
             out.append(last[at])
             at = back[at]
+        if end > LONGEST:  # a long word's tables are not kept
+            self._forget()
         return out[::-1]
 
-    def _chunk(self, text: str) -> str:
-        """Ids, joined by a space, of text without white space.
+    def _forget(self) -> None:
+        self.before, self.last, self.back, self.states, self.lengths = [], [-1], [-1], [0], [0]
 
-        A word of a chunk is a chunk of its own, so one table knows both.
-        """
-        words = self.words.findall(text)
-        if len(words) == 1:
-            ids = self.t.ids
-            return " ".join([str(ids[x]) for x in self.word(text)])
-        return " ".join([self.known[w] for w in words])
-
-    def encode(self, text: str | None) -> str:
-        """The ids of a whole text, joined by a space."""
-        out = []
+    def _pieces(self, text: str | None) -> list[list[str] | str]:
+        """A text as special tokens (strings) and the lists of chunks between them."""
+        out: list[list[str] | str] = []
         for part in self.special.split(text) if text and any(x in text for x in self.t.special) else [text or ""]:
             if part in self.t.special:
-                out.append(str(self.t.special[part]))
+                out.append(part)
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             part = part.lower()
             odd = any(c in part for c in "\x1c\x1d\x1e\x1f")  # white space to str.split alone
-            pieces = [x for x in regex.split(f"[{SPACE}]+", part) if x] if odd else part.split()
-            out += [self.known[x] for x in pieces]
-        return " ".join(out)
+            out.append([x for x in regex.split(f"[{SPACE}]+", part) if x] if odd else part.split())
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[str]:
+        """The ids of whole texts, each joined by a space.
+
+        Chunks that are not known yet are looked up first, their words in
+        alphabetical order. Known ones are kept in two generations: a full
+        table becomes the old one, and what is asked for again moves back, so
+        common chunks stay and memory is bounded. Long chunks are not kept.
+        """
+        known, old, special = self.known, self.old, self.t.special
+        cut = [self._pieces(text) for text in texts]
+        asked = set().union(*(part for pieces in cut for part in pieces if part.__class__ is list))
+        new = []
+        for x in asked.difference(known):
+            if (found := old.get(x)) is None:
+                new.append(x)
+            else:
+                known[x] = found
+        split = [self.words.findall(x) for x in new]
+        made = {w: known.get(w) or old.get(w) for words in split for w in words}
+        ids = self.t.ids
+        for w in sorted(w for w, found in made.items() if found is None):
+            made[w] = " ".join([str(ids[x]) for x in self.word(w)])
+        for x, words in zip(new, split, strict=True):
+            known[x] = made[x] if len(words) == 1 else " ".join([made[w] for w in words])
+        for w, found in made.items():
+            known[w] = found
+        out = [" ".join([y for part in pieces for y in ([known[x] for x in part] if part.__class__ is list else [str(special[part])])]) for pieces in cut]
+        for x in new:
+            if len(x) > KEPT:
+                known.pop(x, None)
+        for w in made:
+            if len(w) > KEPT:
+                known.pop(w, None)
+        if len(known) > CACHE:
+            self.known, self.old = {}, known
+        return out
+
+    def encode(self, text: str | None) -> str:
+        """The ids of one whole text, joined by a space."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: str) -> str:
         """The token strings joined by a space, for the file names no decoder."""
         return " ".join([self.name[x] for x in ids.split()])
 
 
+def _encoded(enc: Encoder, texts):
+    """The ids of an Arrow column's texts, some taken together."""
+    taken, size = [], 0
+    for text in texts:
+        taken.append(text.as_py())
+        size += len(taken[-1] or "")
+        if size >= TAKEN:
+            yield from enc.encode_all(taken)
+            taken, size = [], 0
+    yield from enc.encode_all(taken)
+
+
 def encoder(tables) -> Encoder:
     """The worker's encoder for a broadcast vocabulary."""
     return held(("bpe", tables.value.mark), lambda: Encoder(tables.value))
@@ -287,17 +350,16 @@ def encode_documents(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("id
     def run(batches):
         enc = encoder(tables)
         for batch in batches:
-            begin, n, held_, cols = 0, [], 0, {x: [] for x in outputs}
-            for at, text in enumerate(batch.column("text"), 1):
-                ids = enc.encode(text.as_py())
+            begin, n, tokens, cols = 0, [], 0, {x: [] for x in outputs}
+            for at, ids in enumerate(_encoded(enc, batch.column("text")), 1):
                 decoded = enc.decode(ids) if told else None
                 n.append(ids.count(" ") + 1 if ids else 0)
-                held_ += n[-1]
+                tokens += n[-1]
                 for x in outputs:
                     cols[x].append(make[x](ids, decoded))
-                if held_ >= SENT or at == batch.num_rows:
+                if tokens >= SENT or at == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id")[begin:at], pa.array(n, pa.int64()), *(pa.array(cols[x], types[x]) for x in outputs)], names=["doc_id", "n_tokens", *outputs])
-                    begin, n, held_, cols = at, [], 0, {x: [] for x in outputs}
+                    begin, n, tokens, cols = at, [], 0, {x: [] for x in outputs}
 
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long" + "".join(f", {x} {kinds[x]}" for x in outputs))
