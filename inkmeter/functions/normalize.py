@@ -198,10 +198,21 @@ def to_text(html: pd.Series) -> pd.Series:
     return html.map(html_text)
 
 
+_LETTERS = str.maketrans({"ß": "ss", "ø": "o", "Ø": "o", "ł": "l", "Ł": "l", "æ": "ae", "œ": "oe"})
+_TEX_ACCENT = re.compile(r"\\(?:['`^\"~=.]|[uvHtcdbkr](?=[{ ]))\s*\{?\s*\\?([A-Za-z])\}?")
+_TEX_LETTER = re.compile(r"\\(ss|ae|oe|aa|o|l|i|j)(?![A-Za-z])", re.I)
+
+
+def fold(text: str) -> str:
+    """Lower case without accents, in Unicode or in TeX; other TeX commands are blanks."""
+    text = _TEX_LETTER.sub(r"\1", _TEX_ACCENT.sub(r"\1", text))
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M"))
+    return re.sub(r"\\[a-z]+", " ", text.translate(_LETTERS).lower())
+
+
 @F.pandas_udf(T.StringType())
 def folded(s: pd.Series) -> pd.Series:
-    """Accents and TeX commands folded away, lower-cased."""
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", re.sub(r"\\[A-Za-z]+", " ", x)) if not unicodedata.combining(c)).lower())
+    return s.map(lambda x: None if x is None else fold(x))
 
 
 def title_key(text: Column) -> Column:

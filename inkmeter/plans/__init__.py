@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["marker_plans", "clean_plans", "pair_plans", "text_plans", "record_plans", "stream_plans", "measure_plans"]
+MODULES = ["marker_plans", "clean_plans", "pair_plans", "text_plans", "record_plans", "stream_plans", "measure_plans", "evidence_plans"]
 
 
 def queries() -> dict:
