@@ -122,7 +122,7 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROMPT_SQL = r"""WITH d AS (SELECT source, lang, coalesce(len(regexp_extract_all(text, '\S+')), 0)::INTEGER AS n FROM documents), k AS (SELECT * FROM d WHERE n <= 800),
-m AS (SELECT source, lang AS modal FROM k GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) = 1)
+c AS (SELECT source, lang, count(*) AS c FROM k GROUP BY ALL), m AS (SELECT source, lang AS modal FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY c DESC, lang) = 1)
 SELECT source, texts, modal, median, least, most, base, dropped, round(100.0::DOUBLE * dropped / base, 2) AS share FROM (SELECT source, count(*) AS base, count(*) FILTER (n > 800) AS dropped FROM d GROUP BY source)
 JOIN (SELECT source, count(*) AS texts, min(n) AS least, max(n) AS most, list_sort(list(n))[count(*) // 2 + 1] AS median FROM k GROUP BY source) USING (source) JOIN m USING (source)"""
 
