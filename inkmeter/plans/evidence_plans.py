@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import markers as M
 from ..functions import placeholders as P
-from ..functions.tokens import runs
-from ..operators import draws, evidence, matching, worklist
+from ..functions.tokens import n_words, runs
+from ..operators import draws, evidence, matching, memory, worklist
 from ..operators.records import allocate
-from .base import TEXTS_SQL, order_key, quoted, round6, table, texts
-from .marker_plans import SIMPLE, WHOLE, counted, count_sql, flagged, FLAG_SQL
+from .base import TEXTS_SQL, WORDS_SQL, order_key, quoted, round6, table, texts
+from .marker_plans import FLAG_SQL, SIMPLE, WHOLE, count_sql, counted, flagged
+from .measure_plans import ARMS_SQL, arms
 from .pair_plans import GRAM_SQL, GRAMS_SQL, upper_median
 
 
@@ -207,8 +208,52 @@ s AS (SELECT doc_id, marker, (list_sum(list_transform(g[1:j], lambda x: len(x)))
 SELECT doc_id, marker, start, (start + n)::INTEGER AS "end" FROM s"""
 
 
+# ---- what persons' texts already hold ----
+def _report(rows: DataFrame, by: str) -> DataFrame:
+    return rows.select(by, "texts", round6(F.col("mean")).alias("mean"), round6(F.col("most")).alias("most"), "above", "worst")
+
+
+def memorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, how much of its documents the benchmark's texts hold, and the three that share most."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("arm"), F.col("doc_id").alias("id"), "text")
+    return _report(memory.memorisation(docs, table(spark, sf_dir, "benchmark").select("text")), "arm")
+
+
+MEMORY_SQL = f"""WITH {GRAMS_SQL}, g AS (SELECT id, count(*) AS grams, count(bg.gram) AS shared FROM dg LEFT JOIN bg USING (gram) GROUP BY id),
+c AS (SELECT d.source AS arm, d.doc_id AS id, coalesce(shared::DOUBLE / grams, 0.0) AS c FROM documents d LEFT JOIN g ON d.doc_id = g.id), r AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY c DESC, id) AS r FROM c)
+SELECT arm, count(*) AS texts, round(avg(c), 6) AS mean, round(max(c), 6) AS most, count(*) FILTER (c > 0.2) AS above, string_agg(id::VARCHAR, ',' ORDER BY r) FILTER (r <= 3) AS worst FROM r GROUP BY arm"""
+
+
+def person_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's own texts, up to 200 and at most half, against the grams of the others."""
+    people = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    got = memory.baseline(people, order_key("held", F.col("id")))
+    return got.select("texts", round6(F.col("mean")).alias("mean"), round6(F.col("most")).alias("most"), "above")
+
+
+BASELINE_SQL = f"""WITH bw AS (SELECT item_id, regexp_extract_all(translate(lower(text), '’‘', ''''''), '[a-z0-9'']+') AS w, row_number() OVER (ORDER BY md5('held/' || item_id), item_id) AS r, count(*) OVER () AS n FROM benchmark),
+g AS (SELECT item_id, r <= least(200, n // 2) AS held, unnest({GRAM_SQL.format(n=5)}) AS gram FROM bw), pool AS (SELECT DISTINCT gram FROM g WHERE NOT held),
+c AS (SELECT item_id, count(*) FILTER (gram IN (SELECT gram FROM pool))::DOUBLE / count(*) AS c FROM g WHERE held GROUP BY item_id), h AS (SELECT item_id, coalesce(c, 0.0) AS c FROM bw LEFT JOIN c USING (item_id) WHERE r <= least(200, n // 2))
+SELECT count(*) AS texts, round(avg(c), 6) AS mean, round(max(c), 6) AS most, count(*) FILTER (c > 0.2) AS above FROM h"""
+
+
+def shared_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the words and phrases on the documents that every writer has."""
+    rows = arms(spark, sf_dir).where("arm <> 'casual'")
+    writers = rows.select("arm").distinct().count()
+    have = rows.groupBy("doc").agg(F.countDistinct("arm").alias("n")).where(F.col("n") == writers).select("doc")
+    rows = rows.join(have, "doc", "left_semi").withColumn("n_words", n_words(F.col("text")))
+    got = counted(rows, SIMPLE, ["arm", "n_words"]).groupBy("arm", "marker").agg(F.count("*").alias("texts"), F.sum("n").alias("occurrences"), F.sum("n_words").alias("words"))
+    return got.withColumn("per1000", round6(1000 * F.col("occurrences") / F.col("words")))
+
+
+SHARED_SQL = f"""WITH t AS ({ARMS_SQL}), f AS (SELECT *, {WORDS_SQL} AS n_words, replace(text, '**', '') AS rt FROM t WHERE doc IN (SELECT doc FROM t GROUP BY doc HAVING count(DISTINCT arm) = (SELECT count(DISTINCT arm) FROM t))),
+c AS ({' UNION ALL '.join(f"SELECT arm, n_words, {quoted(x)} AS marker, ({count_sql(x)})::BIGINT AS n FROM f" for x in SIMPLE)})
+SELECT arm, marker, count(*) AS texts, sum(n)::BIGINT AS occurrences, sum(n_words)::BIGINT AS words, round(1000.0::DOUBLE * sum(n) / sum(n_words), 6) AS per1000 FROM c GROUP BY ALL"""
+
 QUERIES = {
     "pick_match": pick_match, "whole_text_guard": whole_text_guard, "document_panel": document_panel, "level_draw": level_draw, "person_counts": person_counts, "prompt_rows": prompt_rows, "work_list": work_list,
     "placeholder_tokens": placeholder_tokens, "seeded_sample": seeded_sample, "analyse_whole": analyse_whole, "analyse_spans": analyse_spans,
+    "memorisation": memorisation, "person_baseline": person_baseline, "shared_rates": shared_rates,
 }
-SQL = {"pick_match": PICK_SQL, "whole_text_guard": WHOLE_GUARD_SQL, "document_panel": PANEL_SQL, "level_draw": LEVEL_SQL, "person_counts": PERSON_SQL, "prompt_rows": PROMPT_SQL, "work_list": WORK_SQL, "analyse_spans": _spans_sql()}
+SQL = {"pick_match": PICK_SQL, "whole_text_guard": WHOLE_GUARD_SQL, "document_panel": PANEL_SQL, "level_draw": LEVEL_SQL, "person_counts": PERSON_SQL, "prompt_rows": PROMPT_SQL, "work_list": WORK_SQL, "analyse_spans": _spans_sql(), "memorisation": MEMORY_SQL, "person_baseline": BASELINE_SQL, "shared_rates": SHARED_SQL}

@@ -277,13 +277,24 @@ def summary(cells: DataFrame, decider: str) -> DataFrame:
     return mine.join(k, "marker")
 
 
+def summarised(genres: dict[str, tuple[DataFrame, Genre]]) -> tuple[DataFrame, DataFrame]:
+    """Over kinds of writing: (genre, marker, the decider's verdict and the count over writers), and
+    (genre, placebo_disagreements). ``genres`` maps a name to ``measured`` cells and how they were measured."""
+    grid = checks = None
+    for name, (cells, genre) in genres.items():
+        one = summary(cells, genre.decider).select(F.lit(name).alias("genre"), "*")
+        apart = cells.where(F.col("writer") == genre.decider).agg(F.count_if(~F.col("placebo_tie")).alias("placebo_disagreements")).select(F.lit(name).alias("genre"), "*")
+        grid, checks = (one, apart) if grid is None else (grid.unionByName(one), checks.unionByName(apart))
+    return grid, checks
+
+
 # ---- the registered queries: documents as a person's texts, and three writers' edits of them ----
 ARMS = Genre("person", "casual", "gpt", ("gpt", "llama"))
 #: Writer, the language it leaves out, how far its seeded sentences are shifted against the person's, and one of its own where doc_id % k = r.
 WRITERS = [("gpt", "fr", 1, (3, 0, " We showcase a crucial realm. gonna")), ("llama", "de", 3, (2, 1, "\n- **x** and — so — on"))]
 
 
-def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document by the person, edits of it by two writers, and the conversations as casual writing."""
     docs = table(spark, sf_dir, "documents")
     keep = [F.col("doc_id").alias("doc"), F.col("source").alias("grp"), F.col("doc_id").alias("pos")]
@@ -296,16 +307,16 @@ def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measure_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measured(_arms(spark, sf_dir), ARMS)
+    return measured(arms(spark, sf_dir), ARMS)
 
 
 def summary_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(measured(_arms(spark, sf_dir), ARMS), ARMS.decider)
+    return summary(measured(arms(spark, sf_dir), ARMS), ARMS.decider)
 
 
 def matched_share_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the whole-text markers on the document pairs of two writers with the person."""
-    found = signals(_arms(spark, sf_dir))
+    found = signals(arms(spark, sf_dir))
     how = {a: h for a, h in pairings(found, ARMS).items() if a in ARMS.writers}
     got = matched_shares(found, ARMS, how).where(F.col("marker").isin(*WHOLE))
     return got.select("label", "side", "marker", "n", "k", round6(F.col("lo")).alias("lo"), round6(F.col("hi")).alias("hi"))
@@ -315,12 +326,20 @@ def _seeded_sql(shift: int) -> str:
     return "text || " + " || ".join(f"CASE WHEN (doc_id + {shift}) % {k} = {r} THEN {quoted(s)} ELSE '' END" for k, r, s in SEEDS)
 
 
+def _arms_sql() -> str:
+    """The three writers' texts as a SELECT of arm, doc, text."""
+    arms_ = [f"SELECT 'person' AS arm, doc_id AS doc, {_seeded_sql(0)} AS text FROM documents"] + [f"SELECT {quoted(n)} AS arm, doc_id AS doc, {_seeded_sql(s)} || CASE WHEN doc_id % {k} = {r} THEN {quoted(own)} ELSE '' END AS text FROM documents WHERE lang <> {quoted(w)}" for n, w, s, (k, r, own) in WRITERS]
+    return " UNION ALL ".join(arms_)
+
+
+ARMS_SQL = _arms_sql()
+
+
 def _matched_sql() -> str:
-    arms = [f"SELECT 'person' AS arm, doc_id AS doc, {_seeded_sql(0)} AS text FROM documents"] + [f"SELECT {quoted(n)} AS arm, doc_id AS doc, {_seeded_sql(s)} || CASE WHEN doc_id % {k} = {r} THEN {quoted(own)} ELSE '' END AS text FROM documents WHERE lang <> {quoted(w)}" for n, w, s, (k, r, own) in WRITERS]
     flags = " UNION ALL ".join(f"SELECT arm, doc, bin, {quoted(x)} AS marker, {FLAG_SQL[x]} AS hit FROM f" for x in WHOLE)
     p = "(k::DOUBLE / n)"
     wilson = [f"round(100 * ({p} + 1.96*1.96/(2*n) {s} 1.96*sqrt({p}*(1-{p})/n + 1.96*1.96/(4*n*n))) / (1 + 1.96*1.96/n), 6)" for s in "-+"]
-    return f"""WITH t AS ({' UNION ALL '.join(arms)}), f0 AS (SELECT *, {WORDS_SQL} AS n_words, replace(text, '**', '') AS rt FROM t), f AS (SELECT *, {BIN_SQL} AS bin FROM f0),
+    return f"""WITH t AS ({ARMS_SQL}), f0 AS (SELECT *, {WORDS_SQL} AS n_words, replace(text, '**', '') AS rt FROM t), f AS (SELECT *, {BIN_SQL} AS bin FROM f0),
 h AS ({flags}), j AS (SELECT a.arm AS label, a.marker, a.hit AS mine, r.hit AS theirs FROM h a JOIN h r ON a.doc = r.doc AND a.bin = r.bin AND a.marker = r.marker WHERE a.bin >= 0 AND a.arm <> 'person' AND r.arm = 'person'),
 g AS (SELECT label, 'arm' AS side, marker, count(*) AS n, count(*) FILTER (mine) AS k FROM j GROUP BY ALL UNION ALL SELECT label, 'ref', marker, count(*), count(*) FILTER (theirs) FROM j GROUP BY ALL)
 SELECT label, side, marker, n, k, {wilson[0]} AS lo, {wilson[1]} AS hi FROM g"""
