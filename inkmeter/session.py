@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import shutil
@@ -22,8 +23,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if not getattr(sc, "_inkmeter_shipped", False):
         root = os.path.dirname(os.path.abspath(__file__))
-        to = os.path.join(tempfile.mkdtemp(prefix="inkmeter-"), "inkmeter")
-        sc.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(root), os.path.basename(root)))
+        folder = tempfile.mkdtemp(prefix="inkmeter-")
+        atexit.register(shutil.rmtree, folder, True)  # the driver serves the package from here
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "inkmeter"), "zip", os.path.dirname(root), os.path.basename(root)))
         sc._inkmeter_shipped = True
     return spark
 
