@@ -24,6 +24,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def delete(spark, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Table:
     """A DataFrame written once as Parquet in the shared folder; ``drop`` deletes it."""
 
@@ -33,9 +40,7 @@ class Table:
         self.rows = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        sc = self.spark.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -343,7 +343,9 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 
     by_set = nodes.join(comps, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     out = sets.join(by_set, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+    made.drop()
+    return out
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -18,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, delete, shared_dir
 
 LEAST_REVISIT = 100
 SPLIT = 8 << 20
@@ -205,10 +205,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write ``pages`` to archives and read them back: a row per page, without payloads."""
-    spark = pages.sparkSession
+    """Write ``pages`` to archives and read them back: a row per page, without payloads.
+
+    Archives in a ``folder`` of the caller stay; others are deleted once they are read.
+    """
+    spark, own = pages.sparkSession, not folder
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     got = read_warc(spark, write_warc(pages, folder), payloads=False)
+    if own:
+        got = cut(got)
+        delete(spark, folder)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]*)>', 1) as long)")
     return got.select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
 
