@@ -92,6 +92,7 @@ def prose_length(text: Column) -> Column:
 
 _TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^>]*)>|<[^>]+>", re.S)
 _CLOSED = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("pre", "code")}
+_ITEM_PARAGRAPH = re.compile(r"\s*(?:<p\b[^>]*>)?", re.I)  # an item's own paragraph does not break it
 _LINE_TAG = re.compile(r"<p\b[^>]*>|<br\s*/?>", re.I)
 
 
@@ -176,6 +177,7 @@ def html_text(html: str | None) -> str | None:
                 lists[-1][1] += 1
                 mark = f"{lists[-1][1]}. "
             out.append("\n" + mark)
+            at = _ITEM_PARAGRAPH.match(html, at).end()
         elif re.fullmatch("h[1-6]", name) and not close:
             out.append("\n" + "#" * int(name[1]) + " ")
         elif name == "p":
@@ -186,7 +188,6 @@ def html_text(html: str | None) -> str | None:
             out.append(" ")
     out.append(html[at:])
     flat = "".join(out)
-    flat = re.sub(r"(\n(?:- |\d+\. ))\s*\n+", r"\1", flat)  # an item's own paragraph does not break it
     flat = ENTITY.sub(entity, flat)
     flat = re.sub(r"[^\S\n]+", " ", flat.replace("\r\n", "\n").replace("\r", "\n"))
     flat = re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", flat)).strip()

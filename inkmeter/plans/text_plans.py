@@ -101,6 +101,24 @@ def _pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 SQUEEZE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[^\S\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def _html_sql() -> str:
+    """Pages without quotations, code, numbered lists and lines typed with >, which SQL's patterns cannot follow."""
+    blocks = "|".join(N.BLOCK_TAGS)
+    steps = [
+        (r"(?s)<!--.*?-->", ""), (r"[\s\x0b\x{feff}\pZ]+", " "), (r"(?i)</li\s*>\s*(<li\b)", r"\1"), (r"(?i)<li\b[^>]*>\s*(?:<p\b[^>]*>)?", "\n- "),
+        *((rf"(?i)<h{i}\b[^>]*>", "\n" + "#" * i + " ") for i in range(1, 7)),
+        (r"(?i)<(?:strong|b)\b[^>]*>(\s*)", r"\1**"), (r"(?i)(\s*)</(?:strong|b)\s*>", r"**\1"), (r"(?i)</?p\b[^>]*>", "\n\n"), (rf"(?i)</?(?:{blocks})\b[^>]*>", "\n"), (r"(?i)</?t[dh]\b[^>]*>", " "), ("<[^>]+>", ""),
+    ]
+    out = "html"
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    for name in ("middot", "quot", "amp"):
+        out = f"replace({out}, '&{name};', {quoted(N.NAMED[name])})"
+    return f"SELECT page_id, regexp_replace({SQUEEZE.format(out)}, '([A-Za-z])--([A-Za-z])', '\\1—\\2', 'g') AS text FROM pages"
+
+
 TITLES = "SELECT page_id, " + SQUEEZE.format("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)") + " AS title FROM pages"
 MATCH_SQL = f"""WITH t AS ({TITLES}), w AS (SELECT page_id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{{3,}}')) AS w FROM t),
 x AS (SELECT page_id, unnest(w) AS word, len(w) AS n FROM w),
@@ -108,10 +126,21 @@ p AS (SELECT a.page_id, b.page_id AS other, a.n, b.n AS m, count(*) AS shared FR
 s AS (SELECT *, shared::DOUBLE / n AS overlap, 2 * shared::DOUBLE / (n + m) AS dice FROM p WHERE shared::DOUBLE / n >= 0.25)
 SELECT page_id, other, shared, round(overlap, 6) AS overlap, round(dice, 6) AS dice FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY overlap DESC, dice DESC, other) AS r FROM s) WHERE r = 1"""
 
+#: Whether a line is an item depends on the one before it only through a state that some lines set and the others keep.
+WRAPS_SQL = f"""WITH p AS (SELECT doc_id, {SQUEEZE.format('text')} AS t FROM documents), s AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM p),
+l AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS cur FROM s), n AS (SELECT *, lag(cur) OVER w AS prev, lead(cur) OVER w AS next FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT *, regexp_matches(cur, {quoted(N.ITEM)}) AS looks, cur = '' OR prev = '' OR regexp_matches(cur, {quoted(N.HEADING)}) OR regexp_matches(prev, {quoted(N.HEADING)}) AS apart,
+  prev = '' OR regexp_matches(prev, '[.:!?;]$') OR coalesce(regexp_matches(next, {quoted(N.ITEM)}), false) AS leads FROM n),
+g AS (SELECT *, last_value(CASE WHEN i = 1 THEN looks::INT WHEN looks AND leads THEN 1 WHEN NOT looks AND apart THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS state FROM f),
+h AS (SELECT *, apart OR (looks AND (leads OR lag(state) OVER (PARTITION BY doc_id ORDER BY i) = 1)) AS breaks FROM g)
+SELECT doc_id, text FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN i = 1 THEN '' WHEN breaks THEN chr(10) ELSE ' ' END || cur, '' ORDER BY i) AS text FROM h GROUP BY doc_id) USING (doc_id)"""
+
 QUERIES = {
     "html_to_text": html_to_text, "page_titles": page_titles, "plain_text": plain_text, "join_wraps": join_wraps, "prose_length": prose_length, "title_key_match": title_key_match,
 }
 SQL = {
+    "html_to_text": _html_sql(),
+    "join_wraps": WRAPS_SQL,
     "page_titles": TITLES,
     "plain_text": "SELECT doc_id, " + SQUEEZE.format("('  A' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || chr(9) || 'b ' || text || " + quoted(AFTER_PLAIN) + ")") + " AS text FROM documents",
     "prose_length": r"SELECT doc_id, length(trim(regexp_replace(regexp_replace('## Head' || chr(10) || '- **a** b' || chr(10) || '1. c' || chr(10) || text, '(?m)\*\*|^#{1,6} |^(?:[-*•+]|\d{1,2}[.)]) ', '', 'g'), '\s+', ' ', 'g')))::BIGINT AS prose FROM documents",

@@ -213,3 +213,8 @@ def test_cleaning_by_writer(spark):
     got = {r.writer: tuple(r)[1:] for r in cleaned_by_writer(df, spark.createDataFrame([(2,)], "doc long")).collect()}
     # texts, date, language, truncated, meta, remembered, unchecked, kept
     assert got == {"person": (3, 1, 1, 0, 0, 0, 0, 1), "gpt4": (5, 1, 0, 0, 1, 1, 1, 2), "claude": (2, 0, 1, 0, 0, 0, 0, 1)}
+
+
+def test_empty_item_keeps_its_line():
+    assert normalize.html_text("<ul><li></li></ul><p>x</p>") == "-\n\nx"
+    assert normalize.html_text("<ol><li> <p><b>First</b> step</p></li><li><p>Second</p></li></ol>") == "1. **First** step\n\n2. Second"
