@@ -227,7 +227,31 @@ def rate_tests(tallies: DataFrame, first: str = "person", second: str = "machine
 
 
 def conditional_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rate_tests(cut(tallied(texts(spark, sf_dir), SIMPLE + HARD)))
+    got = rate_tests(cut(tallied(texts(spark, sf_dir), SIMPLE + HARD)))
+    return got.select("marker", round6(F.col("p")).alias("p"), F.col("observed").cast("long").alias("observed"), round6(F.col("expected")).alias("expected"))
+
+
+def tail_sql(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419 * ({z})))"
+    return f"least(1.0::DOUBLE, 2 * 0.3989423 * exp(-({z}) * ({z}) / 2) * {t} * (0.3193815 + {t} * (-0.3565638 + {t} * (1.781478 + {t} * (-1.821256 + {t} * 1.330274)))))"
+
+
+#: The exact test in SQL: one stratum's distribution after the other is folded in, and the tail is inverted by halving.
+TESTS_SQL = f"""dp AS MATERIALIZED (SELECT arm, marker, count(*) AS texts, sum(n_words)::DOUBLE AS words, sum(n)::DOUBLE AS occurrences, {DISPERSION_SQL} AS phi FROM c GROUP BY ALL),
+ph AS (SELECT a.marker, greatest(1.0::DOUBLE, (a.phi * (a.texts - 1) + b.phi * (b.texts - 1)) / (a.texts + b.texts - 2)) AS phi, a.words * b.words > 0 AS any_ FROM dp a JOIN dp b ON a.marker = b.marker AND a.arm = 'person' AND b.arm = 'machine'),
+st AS (SELECT marker, floor(ln(n_words) / ln(1.1))::BIGINT AS stratum, sum(n) FILTER (arm = 'person') AS ox, sum(n_words) FILTER (arm = 'person') AS wx, sum(n) FILTER (arm = 'machine') AS oy, sum(n_words) FILTER (arm = 'machine') AS wy
+  FROM c WHERE n_words > 0 AND arm <> 'casual' GROUP BY ALL),
+ce AS MATERIALIZED (SELECT marker, row_number() OVER (PARTITION BY marker ORDER BY stratum) AS k, ox::INT AS x, (ox + oy)::INT AS n, wx::DOUBLE / (wx + wy) AS p0 FROM st WHERE wx > 0 AND wy > 0 AND ox + oy > 0),
+pm AS MATERIALIZED (SELECT marker, k, list_transform(range(0, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p0) + (n - j) * ln(1 - p0))) AS pmf FROM ce),
+cv AS (SELECT marker, 0::BIGINT AS k, [1.0::DOUBLE] AS dist FROM ph UNION ALL
+  SELECT cv.marker, cv.k + 1, list_transform(range(1, len(dist) + len(pmf)), lambda i: list_sum(list_transform(range(greatest(1, i - len(pmf) + 1), least(i, len(dist)) + 1), lambda j: dist[j] * pmf[i - j + 1]))) FROM cv JOIN pm ON pm.marker = cv.marker AND pm.k = cv.k + 1),
+sm AS (SELECT ph.marker, ph.phi, ph.any_, coalesce(sum(x), 0)::BIGINT AS observed, coalesce(sum(n * p0), 0.0) AS expected, coalesce(sum(n), 0) AS total, coalesce(sum(n * p0 * (1 - p0)), 0.0) AS v FROM ph LEFT JOIN ce USING (marker) GROUP BY ALL),
+ex AS (SELECT marker, least(1.0::DOUBLE, list_sum(list_filter(dist, lambda d: d <= dist[(observed + 1)::INT] * (1 + 1e-7)))) AS p FROM cv JOIN sm USING (marker) QUALIFY row_number() OVER (PARTITION BY marker ORDER BY k DESC) = 1),
+iv AS (SELECT marker, p, 0.0::DOUBLE AS lo, 40.0::DOUBLE AS hi, 0 AS i FROM ex WHERE p < 1 UNION ALL
+  SELECT marker, p, CASE WHEN {tail_sql('(lo + hi) / 2')} > p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {tail_sql('(lo + hi) / 2')} > p THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM iv WHERE i < 80),
+ts AS MATERIALIZED (SELECT marker, observed, expected, CASE WHEN NOT any_ THEN NULL WHEN total = 0 THEN 1.0::DOUBLE WHEN total > {S.EXACT_LIMIT} THEN {tail_sql('greatest(0.0, abs(observed - expected) - 0.5) / sqrt(phi * v)')}
+  WHEN phi > 1 THEN {tail_sql('coalesce(lo, 0.0) / sqrt(phi)')} ELSE ex.p END AS p FROM sm JOIN ex USING (marker) LEFT JOIN (SELECT marker, lo FROM iv WHERE i = 80) USING (marker))"""
+CONDITIONAL_SQL = f"WITH RECURSIVE {counts_sql(SIMPLE + HARD)}, {TESTS_SQL} SELECT marker, round(p, 6) AS p, observed, round(expected, 6) AS expected FROM ts"
 
 
 def bounded_rates(tallies: DataFrame) -> DataFrame:
@@ -237,7 +261,19 @@ def bounded_rates(tallies: DataFrame) -> DataFrame:
 
 
 def poisson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bounded_rates(tallied(texts(spark, sf_dir), SIMPLE))
+    got = bounded_rates(tallied(texts(spark, sf_dir), SIMPLE))
+    return got.select("arm", "marker", "texts", "words", "occurrences", *(round6(F.col(c)).alias(c) for c in ("dispersion", "per1000", "lo", "hi")))
+
+
+#: Poisson bounds in SQL: the gamma function's lower part as a series, inverted by halving.
+BOUNDS_SQL = """bt AS (SELECT arm, marker, a, target, side FROM (SELECT arm, marker, occurrences / phi AS k FROM dp), LATERAL (SELECT unnest([k, k + 1]) AS a, unnest([0.025, 0.975]) AS target, unnest(['lo', 'hi']) AS side)),
+bq AS (SELECT *, 0.0::DOUBLE AS lo, 2 * a + 40 AS hi, 0 AS i FROM bt WHERE a > 0 UNION ALL
+  SELECT arm, marker, a, target, side, CASE WHEN p < target THEN mid ELSE lo END, CASE WHEN p < target THEN hi ELSE mid END, i + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(0, (200 + 2 * hi)::INT), lambda n: exp((a + n) * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(a + n + 1)))) AS p FROM bq WHERE i < 60)),
+bd AS MATERIALIZED (SELECT arm, marker, coalesce(max(lo) FILTER (side = 'lo'), 0.0) AS klo, max(lo) FILTER (side = 'hi') AS khi FROM bq WHERE i = 60 GROUP BY ALL),
+rt_ AS MATERIALIZED (SELECT arm, marker, texts, words, occurrences, phi, 1000 * phi * klo / nullif(words, 0) AS lo, 1000 * phi * khi / nullif(words, 0) AS hi FROM dp LEFT JOIN bd USING (arm, marker))"""
+POISSON_SQL = f"""WITH RECURSIVE {counts_sql(SIMPLE)}, dp AS MATERIALIZED (SELECT arm, marker, count(*) AS texts, sum(n_words)::DOUBLE AS words, sum(n)::DOUBLE AS occurrences, {DISPERSION_SQL} AS phi FROM c GROUP BY ALL), {BOUNDS_SQL}
+SELECT arm, marker, texts, words::BIGINT AS words, occurrences::BIGINT AS occurrences, round(phi, 6) AS dispersion, round(1000 * occurrences / nullif(words, 0), 6) AS per1000, round(lo, 6) AS lo, round(hi, 6) AS hi FROM rt_"""
 
 
 def rate_verdicts(tallies: DataFrame, tests: DataFrame) -> DataFrame:
@@ -257,7 +293,15 @@ def rate_verdicts(tallies: DataFrame, tests: DataFrame) -> DataFrame:
 
 def verdict_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     tallies = cut(tallied(texts(spark, sf_dir), SIMPLE + HARD))
-    return rate_verdicts(tallies, benjamini_hochberg(rate_tests(tallies), "p", "q"))
+    return rate_verdicts(tallies, benjamini_hochberg(rate_tests(tallies), "p", "q")).withColumn("q", round6(F.col("q")))
+
+
+VERDICT_RATE_SQL = f"""WITH RECURSIVE {counts_sql(SIMPLE + HARD)}, {TESTS_SQL}, {BOUNDS_SQL},
+rk AS (SELECT *, row_number() OVER (ORDER BY p, marker) AS r, count(*) OVER () AS m FROM ts WHERE p IS NOT NULL),
+qs AS (SELECT marker, least(1.0::DOUBLE, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM rk),
+wd AS (SELECT marker, max(lo) FILTER (arm = 'person') AS plo, max(lo) FILTER (arm = 'machine') AS mlo, max(words) FILTER (arm = 'machine') AS mw, max(hi) FILTER (arm = 'casual') AS chi, max(words) FILTER (arm = 'casual') AS cw FROM rt_ GROUP BY marker)
+SELECT marker, round(q, 6) AS q, CASE WHEN coalesce(mw, 0) = 0 THEN 'not recorded' WHEN q < 0.05 AND observed < expected THEN 'machine marker' WHEN q < 0.05 AND observed > expected THEN 'points the other way'
+  WHEN cw > 0 AND plo > chi AND mlo > chi THEN 'register marker' ELSE 'no signal' END AS verdict FROM ts LEFT JOIN qs USING (marker) JOIN wd USING (marker)"""
 
 
 def share_verdicts(shares: DataFrame) -> DataFrame:
@@ -339,6 +383,9 @@ SQL = {
     "two_proportion_p": TWO_PROPORTION_SQL,
     "bh_adjust": BH_SQL,
     "strata_observed_expected": STRATA_SQL,
+    "conditional_test": CONDITIONAL_SQL,
+    "poisson_interval": POISSON_SQL,
+    "verdict_rate": VERDICT_RATE_SQL,
     "verdict_share": VERDICT_SHARE_SQL,
     "summary_k_of_n": SUMMARY_SQL,
 }
