@@ -65,8 +65,11 @@ def let(value: Column, body) -> Column:
 
 
 def length_bin(words_: Column) -> Column:
-    """0 to 3 for 80-129, 130-219, 220-399 and 400-800 words, else -1."""
-    return F.when(words_.between(80, 129), 0).when(words_.between(130, 219), 1).when(words_.between(220, 399), 2).when(words_.between(400, 800), 3).otherwise(-1)
+    """0 to 3 for 80-129, 130-219, 220-399 and 400-800 words, else -1.
+
+    The count is evaluated once, also where a filter on the bin is pushed down to the text.
+    """
+    return let(words_, lambda w: F.when(w.between(80, 129), 0).when(w.between(130, 219), 1).when(w.between(220, 399), 2).when(w.between(400, 800), 3).otherwise(-1))
 
 
 def length_stratum(words_: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions import markers as M
 from ..functions.tokens import gram_words, length_bin, n_words
 from ..functions.sentences import sentences_around
 from ..operators import overlap, pairing
+from ..session import cut
 from .base import TEXTS_SQL, order_key, quoted, round6, table, texts
 from .clean_plans import REMEMBERED_ABOVE
 from .marker_plans import SIMPLE
@@ -68,7 +69,8 @@ def pair_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).where("bin >= 0").select(F.col("doc_id").alias("id"), "arm", "grp", "bin")
+    """id, arm, grp, bin of the texts that a bin holds; read once, for a draw reads its rows several times."""
+    return cut(texts(spark, sf_dir).where("bin >= 0").select(F.col("doc_id").alias("id"), "arm", "grp", "bin"))
 
 
 def pair_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
