@@ -228,6 +228,6 @@ def test_beginnings_hide_no_match(spark):
 
     rnd = random.Random(1)
     words = ["apples", "However", "January", "12", "1999", "with", "one", "and", "or", "not", "we", "is", "x", "pears", "so", "then", "é", "more"]
-    texts = ["".join(rnd.choice(words) + rnd.choice([" ", ", ", ",", " ,", ". ", "\n"]) for _ in range(rnd.randint(3, 14))) for _ in range(3000)]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", ", ", ",", " ,", ". ", "\n"]) for _ in range(rnd.randint(3, 14))) for _ in range(8000)]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(BY_ID["rule_of_three"].count(F.col("t")).alias("a"), F.regexp_count("t", F.lit(java(markers.RULE_OF_THREE))).alias("b"))
     assert df.where("a <> b").count() == 0 and df.where("b > 0").count() > 20
