@@ -97,6 +97,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     own, copy = F.struct(F.col("_own").alias("r"), F.lit(0).alias("c")), F.struct(above.alias("r"), F.lit(1).alias("c"))
     places = F.when(is_end, F.array(own, copy)).otherwise(F.array(own))
     dealt = rows.withColumn("_place", F.explode(places)).withColumn("_range", F.col("_place.r")).withColumn("_copy", F.col("_place.c"))
+    # As many partitions as ranges: joined by their compressed bytes, ranges full of copies would make long tasks.
+    dealt = dealt.repartition(parts, "_range")
     # A copy stands below every row of its range, whatever its own id.
     order = W.partitionBy("_range").orderBy(F.col("_copy"), F.col("_at").desc(), F.col("text"))
     nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in docs.columns]
