@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markers as M
 from ..functions import placeholders as P
+from ..functions.dialect import java
 from ..functions.tokens import n_words, runs
 from ..operators import draws, evidence, matching, memory, worklist
 from ..operators.records import allocate
@@ -208,6 +209,16 @@ s AS (SELECT doc_id, marker, (list_sum(list_transform(g[1:j], lambda x: len(x)))
 SELECT doc_id, marker, start, (start + n)::INTEGER AS "end" FROM s"""
 
 
+def arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per arm its texts, words and uses of "we" per 1,000 words."""
+    we = F.regexp_count(F.lower("text"), F.lit(java(r"\bwe\b"))).cast("long")
+    got = texts(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("texts"), F.sum("n_words").alias("words"), F.sum(we).alias("we"))
+    return got.select("arm", "texts", "words", round6(F.coalesce(1000 * F.col("we") / F.nullif("words", F.lit(0)), F.lit(0.0))).alias("we_per1000"))
+
+
+ARM_SUMMARY_SQL = rf"""WITH {TEXTS_SQL} SELECT arm, count(*) AS texts, sum(n_words)::BIGINT AS words, round(coalesce(1000.0::DOUBLE * sum(len(regexp_extract_all(lower(text), '\bwe\b'))) / nullif(sum(n_words), 0), 0.0), 6) AS we_per1000 FROM f GROUP BY arm"""
+
+
 # ---- what persons' texts already hold ----
 def _report(rows: DataFrame, by: str) -> DataFrame:
     return rows.select(by, "texts", round6(F.col("mean")).alias("mean"), round6(F.col("most")).alias("most"), "above", "worst")
@@ -254,6 +265,6 @@ SELECT arm, marker, count(*) AS texts, sum(n)::BIGINT AS occurrences, sum(n_word
 QUERIES = {
     "pick_match": pick_match, "whole_text_guard": whole_text_guard, "document_panel": document_panel, "level_draw": level_draw, "person_counts": person_counts, "prompt_rows": prompt_rows, "work_list": work_list,
     "placeholder_tokens": placeholder_tokens, "seeded_sample": seeded_sample, "analyse_whole": analyse_whole, "analyse_spans": analyse_spans,
-    "memorisation": memorisation, "person_baseline": person_baseline, "shared_rates": shared_rates,
+    "memorisation": memorisation, "person_baseline": person_baseline, "shared_rates": shared_rates, "arm_summary": arm_summary,
 }
-SQL = {"pick_match": PICK_SQL, "whole_text_guard": WHOLE_GUARD_SQL, "document_panel": PANEL_SQL, "level_draw": LEVEL_SQL, "person_counts": PERSON_SQL, "prompt_rows": PROMPT_SQL, "work_list": WORK_SQL, "analyse_spans": _spans_sql(), "memorisation": MEMORY_SQL, "person_baseline": BASELINE_SQL, "shared_rates": SHARED_SQL}
+SQL = {"pick_match": PICK_SQL, "whole_text_guard": WHOLE_GUARD_SQL, "document_panel": PANEL_SQL, "level_draw": LEVEL_SQL, "person_counts": PERSON_SQL, "prompt_rows": PROMPT_SQL, "work_list": WORK_SQL, "analyse_spans": _spans_sql(), "memorisation": MEMORY_SQL, "person_baseline": BASELINE_SQL, "shared_rates": SHARED_SQL, "arm_summary": ARM_SUMMARY_SQL}

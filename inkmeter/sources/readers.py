@@ -82,16 +82,41 @@ def pinned(spark: SparkSession, path: str, sha256: str) -> str:
 
 
 def feed(spark: SparkSession, rows: DataFrame, column: str = "xml") -> DataFrame:
-    """Atom entries of a column of feeds: id, version, title, summary, published, updated."""
+    """Atom entries of a column of feeds: id, version, title, summary, published, updated.
+
+    A feed that reports an error fails; entries that name no version of a paper are left out.
+    """
     entry = "struct<id: string, title: string, summary: string, published: string, updated: string>"
     parsed = rows.select(F.from_xml(F.col(column), f"struct<entry: array<{entry}>>", {"rowTag": "feed", "ignoreNamespace": "true"}).alias("f"))
-    e = parsed.select(F.explode("f.entry").alias("e"))
+    failed = F.raise_error(F.concat(F.lit("the feed reports an error: "), F.coalesce("e.summary", F.lit(""))))
+    e = parsed.select(F.explode("f.entry").alias("e")).where(F.when(F.contains("e.id", F.lit("/api/errors")), failed.cast("boolean")).otherwise(F.col("e.id").rlike(r"/abs/.+v[0-9]+\s*\z")))
     return e.select(
         F.nullif(F.regexp_extract("e.id", r"/abs/(.+?)(?:v\d+)?$", 1), F.lit("")).alias("id"), F.expr("try_cast(regexp_extract(e.id, 'v([0-9]+)$', 1) as int)").alias("version"),
         one_line(F.col("e.title")).alias("title"), one_line(F.col("e.summary")).alias("summary"), day(F.col("e.published")).alias("published"), day(F.col("e.updated")).alias("updated"),
     )
 
 
+def oai(rows: DataFrame, column: str = "xml") -> DataFrame:
+    """id, title, versions (array of v, date, by v) of a column of OAI-PMH answers in the raw format.
+
+    An answer that the id does not exist gives no row; any other error, no
+    record, or a record without versions fails.
+    """
+    record = "struct<record: struct<metadata: struct<arXivRaw: struct<id: string, title: string, version: array<struct<_version: string, date: string>>>>>>"
+    answer = F.from_xml(F.col(column), f"struct<error: struct<_code: string, _VALUE: string>, GetRecord: {record}>", {"rowTag": "OAI-PMH", "ignoreNamespace": "true"})
+    rows = rows.select(F.col(column).alias("x"), answer.alias("a")).select("x", F.col("a.error").alias("error"), F.col("a.GetRecord.record.metadata.arXivRaw").alias("r"))
+    rows = rows.where(F.coalesce(F.col("error._code") != "idDoesNotExist", F.lit(True)))
+    versions = F.array_sort(F.transform("r.version", lambda v: F.struct(F.regexp_extract(v["_version"], "([0-9]+)", 1).cast("int").alias("v"), day(v["date"]).alias("date"))))
+    wrong = (
+        F.when(~F.col("x").rlike(r"<OAI-PMH[\s>]"), F.lit("the answer is not OAI-PMH"))
+        .when(F.col("error").isNotNull(), F.concat_ws(" ", F.lit("error"), "error._code", "error._VALUE"))
+        .when(F.col("r").isNull(), F.lit("the answer has no record"))
+        .when(F.coalesce(F.size("r.version"), F.lit(0)) <= 0, F.lit("the record lists no versions"))
+    )
+    checked = lambda c, kind: F.when(wrong.isNotNull(), F.raise_error(wrong).cast(kind)).otherwise(c)
+    return rows.select(checked(one_line(F.col("r.id")), "string").alias("id"), one_line(F.col("r.title")).alias("title"), versions.alias("versions"))
+
+
 def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, java(r"\s+"), " "))
 
@@ -107,5 +132,21 @@ def query_url(base: str, text: Column) -> Column:
     return F.concat(F.lit(base), F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")))
 
 
+#: Addresses of the paper archive.
+API, OAI = "https://export.arxiv.org/api/query", "https://oaipmh.arxiv.org/oai"
+
+
+def search_url(query: Column, most: int = 10) -> Column:
+    return F.concat(query_url(f"{API}?search_query=", query), F.lit(f"&start=0&max_results={most}"))
+
+
+def first_version_url(id_: Column) -> Column:
+    return F.concat(query_url(f"{API}?id_list=", F.concat(id_, F.lit("v1"))), F.lit("&max_results=1"))
+
+
+def record_url(id_: Column) -> Column:
+    return F.concat(query_url(f"{OAI}?verb=GetRecord&identifier=", F.concat(F.lit("oai:arXiv.org:"), id_)), F.lit("&metadataPrefix=arXivRaw"))
+
+
 def slot_id(arm_: Column, group: Column, grade: Column, number: Column) -> Column:
     return F.concat_ws(".", arm_, group, F.concat(F.lit("g"), F.lpad(grade.cast("string"), 2, "0")), F.lpad(number.cast("string"), 3, "0"))

@@ -72,3 +72,40 @@ def test_stream(spark, sf_dir):
     query.awaitTermination(120)
     batch = counts.event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"))
     assert spark.table("windows").count() == batch.count() > 0
+
+
+def test_oai(spark):
+    from inkmeter.sources import readers
+
+    record = "<?xml version='1.0'?><OAI-PMH xmlns='http://www.openarchives.org/OAI/2.0/'>{}</OAI-PMH>"
+    raw = "<GetRecord><record><metadata><arXivRaw><id>1202.3670</id>{}<title>A  title &amp;\n more</title></arXivRaw></metadata></record></GetRecord>"
+    versions = "<version version='v2'><date>Tue, 03 Mar 2020 10:00:00 GMT</date></version><version version='v1'><date>Sun, 01 Mar 2020 23:59:00 GMT</date></version>"
+    got = readers.oai(spark.createDataFrame([(record.format(raw.format(versions)),), (record.format("<error code='idDoesNotExist'>no</error>"),)], "xml string")).collect()
+    assert [(r.id, r.title, [tuple(v) for v in r.versions]) for r in got] == [("1202.3670", "A title & more", [(1, "2020-03-01"), (2, "2020-03-03")])]
+    for bad in (record.format("<error code='badVerb'>x</error>"), record.format(raw.format("")), "<html/>"):
+        with pytest.raises(Exception, match="badVerb|versions|OAI-PMH|record"):
+            readers.oai(spark.createDataFrame([(bad,)], "xml string")).collect()
+    feed = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><id>http://arxiv.org/api/errors#x</id><summary>wrong id</summary></entry></feed>"
+    with pytest.raises(Exception, match="wrong id"):
+        readers.feed(spark, spark.createDataFrame([(feed,)], "xml string")).collect()
+
+
+def test_urls(spark):
+    from inkmeter.sources import readers
+
+    row = spark.range(1).select(readers.search_url(F.lit('ti:a AND ti:"b"')), readers.first_version_url(F.lit("math/0211159")), readers.record_url(F.lit("1202.3670"))).first()
+    assert row[0] == "https://export.arxiv.org/api/query?search_query=ti%3Aa%20AND%20ti%3A%22b%22&start=0&max_results=10"
+    assert row[1].endswith("id_list=math%2F0211159v1&max_results=1") and row[2].endswith("identifier=oai%3AarXiv.org%3A1202.3670&metadataPrefix=arXivRaw")
+
+
+def test_small_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", 0.5), (1, "a", None)], "i int, s string, x double")
+    made = sinks.lines_document('{"about": 1}', "rows", rows.select("i", "s"), "i")
+    assert json.loads(made) == {"about": 1, "rows": [{"i": 1, "s": "a"}, {"i": 2, "s": "b"}]} and '\n  {"i":2' in made
+    path = f"file://{tmp_path}/out.json"
+    assert [sinks.write_if_changed(spark, path, x) for x in (made, made, "{}")] == [True, False, True]
+    assert (tmp_path / "out.json").read_text() == "{}" and not list(tmp_path.glob("*.tmp"))
+    assert sinks.without_text(rows, "s").columns == ["i", "x"]
+    assert sinks.table_text(rows, "i").split("\n") == ["i  s  x", "1  a", "2  b  0.5"]
+    with pytest.raises(ValueError):
+        sinks.table_text(rows, "i", most=1)
