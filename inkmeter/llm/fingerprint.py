@@ -70,6 +70,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(let(both, lambda n: n / (F.size(a) + F.size(b) - n)))
 
 
+def _keys(spark, n: int) -> list[int]:
+    """``n`` different numbers, of which each goes to a partition of its own when dealt by hash to ``n``."""
+    found = spark.range(64 * n).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
+    return [dict(found).get(p, 64 * n + p) for p in range(n)]
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Each row of ``docs`` (doc_id, ...) with the next row's columns, prefixed ``next_``.
 
@@ -96,9 +102,10 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     is_end = F.array_contains(ends, F.col("_at"))
     own, copy = F.struct(F.col("_own").alias("r"), F.lit(0).alias("c")), F.struct(above.alias("r"), F.lit(1).alias("c"))
     places = F.when(is_end, F.array(own, copy)).otherwise(F.array(own))
-    dealt = rows.withColumn("_place", F.explode(places)).withColumn("_range", F.col("_place.r")).withColumn("_copy", F.col("_place.c"))
-    # As many partitions as ranges: joined by their compressed bytes, ranges full of copies would make long tasks.
-    dealt = dealt.repartition(parts, "_range")
+    dealt = rows.withColumn("_place", F.explode(places)).withColumn("_copy", F.col("_place.c"))
+    # One partition a range: two ranges that a hash sends to one partition would make a long task.
+    keys = _keys(docs.sparkSession, len(bounds))
+    dealt = dealt.withColumn("_range", F.element_at(F.lit(keys), F.col("_place.r") + 1)).repartition(len(bounds), "_range")
     # A copy stands below every row of its range, whatever its own id.
     order = W.partitionBy("_range").orderBy(F.col("_copy"), F.col("_at").desc(), F.col("text"))
     nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in docs.columns]
