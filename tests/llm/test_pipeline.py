@@ -21,3 +21,18 @@ def test_stages(spark, sf_dir):
     rows = out.collect()
     assert len(rows) == seen[-1] and all(r.n_tokens == len(r.ids) for r in rows)
     assert all(len(r.decoded_sha256) == len(hashlib.sha256(b"").hexdigest()) for r in rows)
+
+
+def test_run(spark, sf_dir):
+    """The registered query gives what its last stage gives, and leaves only that stage's table."""
+    import os
+    import re
+
+    import corpus_pipeline
+    from inkmeter.session import shared_dir
+
+    out = corpus_pipeline.run(spark, sf_dir)
+    rows = out.collect()
+    assert rows and set(out.columns) >= {"doc_id", "n_tokens", "ids"} and all(r.n_tokens == len(r.ids) for r in rows)
+    left = [x for x in os.listdir(re.sub("^file:/*", "/", shared_dir(spark))) if x.startswith("pipeline-")]
+    assert [x.split("-")[1] for x in left] == ["4"]
