@@ -161,12 +161,11 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- one text analysed ----
 def analyse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, words, whole, unjudged: the markers of the whole text that hold, and those that cannot judge it."""
-    rows = texts(spark, sf_dir)
-    text = F.col("text")
-    names = [m for m in M.MARKERS if not m.count]
-    held = F.filter(F.array(*(F.when(m.test(text), m.id) for m in names)), lambda x: x.isNotNull())
-    cannot = F.filter(F.array(*(F.when(~m.eligible(text), m.id) for m in names if m.eligible)), lambda x: x.isNotNull())
-    return rows.select("doc_id", F.col("n_words").alias("words"), F.array_join(held, ",").alias("whole"), F.array_join(cannot, ",").alias("unjudged"))
+    rows = texts(spark, sf_dir).withColumn("_cv", M.evenness(F.col("text")))
+    told = [(m, *M.hit_and_judged(m, F.col("text"), F.col("_cv"))) for m in M.MARKERS if not m.count]
+    held = F.concat_ws(",", *(F.when(hit, F.lit(m.id)) for m, hit, _ in told))
+    cannot = F.concat_ws(",", *(F.when(~ok, F.lit(m.id)) for m, _, ok in told if m.eligible))
+    return rows.select("doc_id", F.col("n_words").alias("words"), held.alias("whole"), cannot.alias("unjudged"))
 
 
 def analyse_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
