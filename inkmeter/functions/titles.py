@@ -27,7 +27,12 @@ def trigram_share(a: Column, b: Column) -> Column:
         made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
         return F.when(F.size(w) >= 3, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
-    return let(grams(a), lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, grams(b))) / F.size(x)).otherwise(0.0))
+    return let(grams(a), lambda x: share_held(x, grams(b)))
+
+
+def share_held(a: Column, b: Column) -> Column:
+    """Share of the distinct elements of ``a`` that ``b`` holds; 0 without elements."""
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
 
 
 def dice(a: Column, b: Column) -> Column:

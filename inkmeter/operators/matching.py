@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.titles import dice, title_words, trigram_share
+from ..functions.titles import dice, share_held, title_words
+from ..functions.tokens import let
+from .overlap import hashed
 
 #: An abstract that is the same paper's by itself; a renamed paper's title and abstract; results worth another look.
 SAME_ABSTRACT, RENAMED_TITLE, RENAMED_ABSTRACT = 0.5, 0.6, 0.25
 NEAR_TITLE, NEAR_ABSTRACT, CHECKS = 0.5, 0.1, 2
 
 
+def trigrams(text):
+    return let(title_words(text), lambda w: hashed(w, 3))
+
+
 def scored(docs: DataFrame, entries: DataFrame, candidates: DataFrame) -> DataFrame:
     """doc, entry, same (title), overlap (null without text), likeness of the pairs of ``candidates`` (doc, entry).
 
     ``docs`` are (doc, title, text), ``entries`` (entry, title, summary). Words
-    are taken once per text, before the pairs are made.
+    and trigrams are taken once per text, before the pairs are made; a trigram
+    is its 64-bit hash.
     """
-    left = docs.select("doc", title_words(F.col("title")).alias("t"), F.when(F.col("text").isNotNull(), title_words(F.col("text"))).alias("x"))
-    right = entries.select("entry", title_words(F.col("title")).alias("u"), title_words(F.coalesce("summary", F.lit(""))).alias("y"))
+    left = docs.select("doc", title_words(F.col("title")).alias("t"), F.when(F.col("text").isNotNull(), trigrams(F.col("text"))).alias("x"))
+    right = entries.select("entry", title_words(F.col("title")).alias("u"), trigrams(F.coalesce("summary", F.lit(""))).alias("y"))
     pairs = candidates.join(left, "doc").join(right, "entry")
-    return pairs.select("doc", "entry", (F.array_join("t", " ") == F.array_join("u", " ")).alias("same"), F.when(F.col("x").isNotNull(), trigram_share(F.col("x"), F.col("y"))).alias("overlap"), dice(F.col("t"), F.col("u")).alias("likeness"))
+    return pairs.select("doc", "entry", (F.array_join("t", " ") == F.array_join("u", " ")).alias("same"), F.when(F.col("x").isNotNull(), share_held(F.col("x"), F.col("y"))).alias("overlap"), dice(F.col("t"), F.col("u")).alias("likeness"))
 
 
 def pick_match(pairs: DataFrame) -> DataFrame:
