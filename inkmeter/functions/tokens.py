@@ -51,6 +51,11 @@ def runs(text: Column) -> Column:
     return _all(text, RUN)
 
 
+def n_runs(text: Column) -> Column:
+    """How many runs a text has; counts without making them."""
+    return F.regexp_count(text, F.lit(RUN))
+
+
 def folded_words(text: Column) -> Column:
     return _all(F.lower(text), r"[a-z0-9]+")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as C
 from ..functions import markers as M
-from ..functions.tokens import approx_tokens, runs
+from ..functions.tokens import approx_tokens, n_runs
 from ..operators import overlap
 from ..operators.records import dated_exclusions
 from .base import quoted, round6, table
@@ -129,7 +129,7 @@ def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", F.sha2("text", 256))
     docs = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     firsts = docs.groupBy("key").agg(F.min("doc_id").alias("first"))
-    n = F.size(runs(F.col("text")))
+    n = n_runs(F.col("text"))
     rows = docs.select("lang", "doc_id", "key", "quality", n.alias("n"), C.is_english(F.col("text")).alias("english")).join(firsts, "key")
     return cleaning(
         rows,

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import markers as M
 from ..functions import placeholders as P
 from ..functions.dialect import java
-from ..functions.tokens import n_words, runs
+from ..functions.tokens import n_runs, n_words
 from ..operators import draws, evidence, matching, memory, worklist
 from ..operators.records import allocate
+from ..session import cut
 from .base import TEXTS_SQL, WORDS_SQL, order_key, quoted, round6, table, texts
 from .marker_plans import FLAG_SQL, SIMPLE, WHOLE, count_sql, counted, flagged
 from .measure_plans import ARMS_SQL, arms
@@ -22,8 +23,8 @@ def _papers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Documents with their first words as titles, the same as entries with some renamed, and each document's own entry and the next two."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("title"), "text")
     renamed = F.when(F.col("doc") % 3 == 0, F.concat(F.lit("On "), "title")).when(F.col("doc") % 3 == 1, F.concat("title", F.lit(" and all that it is about"))).otherwise(F.col("title"))
-    cut = F.when(F.col("doc") % 5 == 0, F.substring("text", 1, 400)).otherwise(F.col("text"))
-    entries = docs.select(F.col("doc").alias("entry"), renamed.alias("title"), cut.alias("summary"))
+    short = F.when(F.col("doc") % 5 == 0, F.substring("text", 1, 400)).otherwise(F.col("text"))
+    entries = docs.select(F.col("doc").alias("entry"), renamed.alias("title"), short.alias("summary"))
     pairs = docs.select("doc", F.explode(F.sequence(F.col("doc"), F.col("doc") + 2)).alias("entry"))
     return docs, entries, pairs
 
@@ -113,12 +114,13 @@ SELECT grp, marker, count(*) AS texts, count(*) FILTER (hit) AS with_marker, sum
 # ---- assignments ----
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: documents of up to 800 words, the commonest language, their lengths in words, and how many were longer."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang", F.coalesce(F.size(runs(F.col("text"))), F.lit(0)).alias("n"))
-    kept = docs.where("n <= 800")
-    median = upper_median(kept, "source", "n")
-    commonest = kept.groupBy("source", "lang").agg(F.count("*").alias("c")).groupBy("source").agg(F.min_by("lang", F.struct(-F.col("c"), "lang")).alias("modal"))
-    sizes = kept.groupBy("source").agg(F.count("*").alias("texts"), F.min("n").alias("least"), F.max("n").alias("most"))
-    over = docs.groupBy("source").agg(F.count("*").alias("base"), F.count_if(F.col("n") > 800).alias("dropped"))
+    n = F.coalesce(n_runs(F.col("text")), F.lit(0))
+    counts = cut(table(spark, sf_dir, "documents").select("source", "lang", n.alias("n")).groupBy("source", "lang", "n").agg(F.count("*").alias("c")))  # all below reads these; the texts are read once
+    kept = counts.where("n <= 800")
+    median = upper_median(kept, "source", "n", F.col("c"))
+    commonest = kept.groupBy("source", "lang").agg(F.sum("c").alias("c")).groupBy("source").agg(F.min_by("lang", F.struct(-F.col("c"), "lang")).alias("modal"))
+    sizes = kept.groupBy("source").agg(F.sum("c").alias("texts"), F.min("n").alias("least"), F.max("n").alias("most"))
+    over = counts.groupBy("source").agg(F.sum("c").alias("base"), F.sum(F.when(F.col("n") > 800, F.col("c")).otherwise(0)).alias("dropped"))
     share = F.round(100 * F.col("dropped") / F.col("base"), 2)
     return over.join(sizes, "source").join(commonest, "source").join(median, "source").select("source", "texts", "modal", "median", "least", "most", "base", "dropped", share.alias("share"))
 
@@ -147,7 +149,7 @@ def placeholder_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """token, removed, corpus, eligible: anonymisation tokens of the documents, to which some are added, and the same among those of 80 to 800 words."""
     added = F.when(F.col("doc_id") % 4 == 0, " Dear STUDENT_NAME, see Generic_School").when(F.col("doc_id") % 4 == 1, " a TEACHER_NAMEif of COMMUNITY_SERVICE").otherwise("")
     docs = table(spark, sf_dir, "documents").select(F.concat(F.coalesce("text", F.lit("")), added).alias("text"))
-    docs = docs.withColumn("fit", F.size(runs(F.col("text"))).between(80, 800))
+    docs = docs.withColumn("fit", n_runs(F.col("text")).between(80, 800))
     each = docs.where(F.contains("text", F.lit("_"))).select("fit", F.explode(P.scanned_tokens(F.col("text"))).alias("t"))
     return each.groupBy("t.token", "t.removed").agg(F.count("*").alias("corpus"), F.count_if("fit").alias("eligible"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,9 +32,9 @@ def length_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).where("n_words > 0").groupBy("arm", "stratum").agg(F.count("*").alias("texts"), F.sum("n_words").alias("words"))
 
 
-def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """The upper middle of whole numbers per group, from counts per value (no group is collected)."""
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("c"))
+def upper_median(rows: DataFrame, by: str, value: str, times: Column | None = None) -> DataFrame:
+    """The upper middle of whole numbers per group, from counts per value (no group is collected). ``times`` is how often a row counts."""
+    counts = rows.groupBy(by, value).agg((F.count("*") if times is None else F.sum(times)).alias("c"))
     upto = W.partitionBy(by).orderBy(value)
     total = F.sum("c").over(W.partitionBy(by))
     at = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("total", total)
