@@ -54,14 +54,21 @@ META = [
 ]
 SIGNATURE_TAIL = r"\n[ \t]*(?:sincerely|sincerely yours|best|best regards|best wishes|regards|kind regards|warm regards|thank you|thanks|yours truly|yours sincerely|respectfully|respectfully yours)[,.!]?[ \t]*\n[\s\S]{0,120}$"
 # ---- end of the fixed values ----
+#: By place in ``META``: where a match begins, looked for first; it spares the word boundaries elsewhere.
+META_BEGINS = {
+    2: "(?=i(?:['’]m| am) |as an? )", 7: "(?=i (?:must|would|['’]d) )", 11: "(?=here)", 13: "(?=here)", 14: "(?=(?:the|this|an?|its) abstract |the (?:paper|article|study) )",
+    15: "(?=is an? |(?:the|this|an?) (?:academic|paper|article|study) )", 18: r"(?=[.!?;\"”:]\s+[TB]|A)", 19: r"(?=\(|i hope |let me |feel free )",
+}
+#: Code points of a text's end in which its last words are looked for first, and of its beginning in which its tokens are counted first.
+TAIL, HEAD = 2_000, 10_000
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.when(F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1))).rlike(f"[{SPACE}]"), F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")).otherwise(text)
 
 
 def trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]+\z", "")
+    return F.when(F.right(text, F.lit(1)).rlike(f"[{SPACE}]"), F.regexp_replace(text, rf"[{SPACE}]+\z", "")).otherwise(text)
 
 
 def english_share(text: Column) -> Column:
@@ -91,13 +98,18 @@ def ends_in_loop(text: Column) -> Column:
         return out
 
     # 23 words before the last decide for the longest case; the tail keeps the test independent of length
-    tail = let(loop_words(text), lambda w: F.slice(w, F.greatest(F.size(w) - 46, F.lit(1)), F.lit(47)))
+    last = lambda w: F.slice(w, F.greatest(F.size(w) - 46, F.lit(1)), F.lit(47))
+    # the first words of the text's end may be cut, so they must not be among the 47
+    tail = let(loop_words(F.right(text, F.lit(TAIL))), lambda w: F.when(F.size(w) >= 49, last(w)).otherwise(let(loop_words(text), last)))
     return let(tail, looped)
 
 
 def finished_ending(text: Column) -> Column:
     """stop, symbol, signature or null: how the ending is a finished one."""
-    t = trim_end(text)
+    return let(trim_end(text), _finished)
+
+
+def _finished(t: Column) -> Column:
     symbol = F.lit(False)
     for p in FINISHED:
         symbol = symbol | t.rlike(java(p, "u"))
@@ -118,19 +130,20 @@ def finished_ending(text: Column) -> Column:
 
 def ends_inside_quote(text: Column) -> Column:
     """Whether the last quotation or bracket is an opening one."""
-    t = trim_end(text)
+    return let(trim_end(text), _inside_quote)
+
 
+def _inside_quote(t: Column) -> Column:
     def last(mark: str) -> Column:
         return F.char_length(F.substring_index(t, mark, -1))
 
     curly = F.when(F.contains(t, F.lit("“")), ~F.contains(t, F.lit("”")) | (last("“") < last("”"))).otherwise(False)
-    opens, closes = java(r"\((?=[\p{L}\p{N}\"“'‘])"), java(r"(?<!(?:^|\s)[:;=8xX]-?)\)")
+    opens, closes = java(r"\((?=[\p{L}\p{N}\"“'‘])"), java(r"(?=\))(?<!(?:^|\s)[:;=8xX]-?)\)")
 
     def place(pattern: str) -> Column:
-        parts = F.split(t, pattern, -1)
-        return F.when(F.size(parts) > 1, F.char_length(t) - F.char_length(F.element_at(parts, -1))).otherwise(0)
+        return let(F.split(t, pattern, -1), lambda parts: F.when(F.size(parts) > 1, F.char_length(t) - F.char_length(F.element_at(parts, -1))).otherwise(0))
 
-    bracket = place(opens) > place(closes)
+    bracket = F.contains(t, F.lit("(")) & (place(opens) > place(closes))
     odd = F.regexp_count(t, F.lit('"')) % 2 == 1
     straight = odd & t.rlike(java(r"(?:^|[\s(\[])\"[\p{L}\p{N}][^\"]*$"))
     return curly | bracket | straight
@@ -144,25 +157,37 @@ def cap(model: Column) -> Column:
     return out
 
 
+def reaches_cap(text: Column, model: Column) -> Column:
+    """Whether a text has as many tokens as its model's cap; counted over its beginning first, for more text has no fewer tokens."""
+    at = cap(model)
+    begun = (F.char_length(text) > HEAD) & (approx_tokens(F.substring(text, 1, HEAD)) >= at)
+    return F.when((at == float("inf")) | (F.char_length(text) < at), False).otherwise(begun | (approx_tokens(text) >= at))
+
+
 def is_truncated(text: Column, model: Column) -> Column:
-    t = trim_end(text)
-    long = approx_tokens(t) >= cap(model)
-    return (
-        F.when(t == "", True)
-        .when(ends_in_loop(t), True)
-        .when(t.rlike(java(BARE_LIST_MARKER)), True)
-        .when(finished_ending(t).isNotNull(), long & ends_inside_quote(t))
-        .when(t.rlike(java(INSIDE_A_CLAUSE, "u")), True)
-        .otherwise(long)
-    )
+    def truncated(t: Column) -> Column:
+        long = reaches_cap(t, model)
+        return (
+            F.when(t == "", True)
+            .when(ends_in_loop(t), True)
+            .when(t.rlike(java(BARE_LIST_MARKER)), True)
+            .when(_finished(t).isNotNull(), long & _inside_quote(t))
+            .when(t.rlike(java(INSIDE_A_CLAUSE, "u")), True)
+            .otherwise(long)
+        )
+
+    return let(trim_end(text), truncated)
 
 
 def meta_kind(text: Column) -> Column:
     """The kind of task talk that a text holds, by the first rule that matches, or null."""
-    t = trim(text)
-    against = {"start": F.substring(t, 1, META_OPENING), "anywhere": t, "unsigned": F.regexp_replace(t, java(SIGNATURE_TAIL, "i"), "\n")}
-    out = None
-    for kind, where, pattern, flags in META:
-        match = against[where].rlike(java(pattern, flags))
-        out = F.when(match, kind) if out is None else out.when(match, kind)
-    return out
+
+    def kind_of(t: Column, start: Column) -> Column:
+        against = {"start": start, "anywhere": t, "unsigned": F.regexp_replace(t, java(SIGNATURE_TAIL, "i"), "\n")}
+        out = None
+        for i, (kind, where, pattern, flags) in enumerate(META):
+            match = against[where].rlike(java(f"{META_BEGINS[i]}(?:{pattern})" if i in META_BEGINS else pattern, flags))
+            out = F.when(match, kind) if out is None else out.when(match, kind)
+        return out
+
+    return let(trim(text), lambda t: let(F.substring(t, 1, META_OPENING), lambda start: kind_of(t, start)))
