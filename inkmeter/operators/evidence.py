@@ -6,23 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dialect import java
-from .overlap import exploded
+from ..session import cut
+from .overlap import exploded, small
 
 #: Fixed value: subjects on which no text is shown where the person may not be quoted.
 SENSITIVE = r"\b(?:suicid\w*|self[- ]?harm\w*|kill(?:ing)? myself|end(?:ing)? my (?:own )?life|sexual(?:ly)? (?:assault|abus)\w*|rap(?:e|ed|es|ing|ist)\b|molest\w*|abus(?:e|ed|er|ers|ive)\b|psychos[ie]s|psychotic|overdos\w*|addict\w*|alcoholi\w*|rehab\b|drugs?\b|heroin|cocaine|opioid\w*|fentanyl|meth\b|eating disorders?|anorexi\w*|bulimi\w*|accus(?:e|ed|es|ing|ation|ations)\b|convict\w*|arrest\w*|bomb\w*|terror\w*|shoot(?:ing|er|ers)\b|murder\w*|lawsuits?\b)"
 
 
+#: Where a match of ``SENSITIVE`` begins, looked for first.
+BEGINS = r"(?<!\w)(?=[abcdefhklmoprst])"
+
+
 def is_sensitive(text: Column) -> Column:
-    return F.coalesce(text.rlike(java(SENSITIVE, "i")), F.lit(False))
+    return F.coalesce(text.rlike(java(f"{BEGINS}{SENSITIVE}", "i")), F.lit(False))
 
 
 def one_persons_words(machine: DataFrame, people: DataFrame, assignments: DataFrame) -> DataFrame:
     """id of the machine texts (id, text) that hold eight words in a row which exactly one of the persons' texts (id, text) holds and no assignment (text) does."""
-    given = exploded(assignments, 8).distinct()
-    asked = exploded(machine, 8, "id").join(given, "gram", "left_anti")
-    theirs = exploded(people.withColumnRenamed("id", "who"), 8, "who").join(asked.select("gram").distinct(), "gram", "left_semi")
-    single = theirs.groupBy("gram").agg(F.count("*").alias("n")).where("n = 1").select("gram")
-    return asked.join(single, "gram", "left_semi").select("id").distinct()
+    single = exploded(people.withColumnRenamed("id", "who"), 8, "who").groupBy("gram").agg(F.count("*").alias("n")).where("n = 1").select("gram")
+    given = exploded(assignments, 8).join(small(single), "gram", "left_semi").distinct()
+    pool = cut(single.join(given, "gram", "left_anti"))
+    return exploded(machine, 8, "id").join(small(pool), "gram", "left_semi").select("id").distinct()
 
 
 def panel(rows: DataFrame, writers: list[str], guarded: DataFrame, order: Column, person: str | None = None, n: int = 6) -> DataFrame:

@@ -26,6 +26,11 @@ def exploded(rows: DataFrame, n: int, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(let(gram_words(F.col("text")), lambda w: hashed(w, n))).alias("gram"))
 
 
+def small(pool: DataFrame) -> DataFrame:
+    """``pool``, marked for broadcast if it is small. It is counted for that, up to the limit."""
+    return F.broadcast(pool) if pool.limit(SMALL_POOL + 1).count() <= SMALL_POOL else pool
+
+
 def containment(rows: DataFrame, pool: DataFrame, n: int, *key: str, small: bool = True) -> DataFrame:
     """id, grams, shared, containment: the share of a text's grams that its pool (key, gram) holds.
 
