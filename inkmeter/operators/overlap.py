@@ -6,8 +6,11 @@ grams are taken for one with a probability of 2**-64.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.tokens import gram_words, let
 
@@ -41,21 +44,32 @@ def containment(rows: DataFrame, pool: DataFrame, n: int, *key: str, small: bool
     if small and pool.limit(SMALL_POOL + 1).count() <= SMALL_POOL:
         pool = F.broadcast(pool)
     got = mine.join(pool, [*key, "gram"], "left").groupBy("id").agg(F.count("*").alias("grams"), F.count("hit").alias("shared"))
+    return _shares(rows, got)
+
+
+def _shares(rows: DataFrame, got: DataFrame) -> DataFrame:
     return rows.select("id").join(got, "id", "left").select("id", F.coalesce("grams", F.lit(0)).alias("grams"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce(F.col("shared") / F.col("grams"), F.lit(0.0)).alias("containment"))
 
 
 def unique_grams(rows: DataFrame, n: int) -> DataFrame:
-    """gram, id: the grams that exactly one text holds."""
-    return exploded(rows, n, "id").groupBy("gram").agg(F.count("*").alias("texts"), F.min("id").alias("id")).where("texts = 1").select("gram", "id")
+    """gram, id: the grams that exactly one text holds.
+
+    Most grams are in one text, so nothing is gained by adding up before they
+    are dealt: only gram and id are shuffled.
+    """
+    return exploded(rows, n, "id").repartition("gram").groupBy("gram").agg(F.count("*").alias("texts"), F.min("id").alias("id")).where("texts = 1").select("gram", "id")
 
 
 def among(rows: DataFrame, n: int, *key: str) -> DataFrame:
     """id, grams, shared, containment: the share of a text's grams that another text of its key holds.
 
     A text's own grams count once, so what two texts hold is what others hold.
+    Grams are made and dealt once; a gram's rows are at most one a text. Rows
+    with a null key share nothing.
     """
-    pool = exploded(rows, n, *key).groupBy(*key, "gram").agg(F.count("*").alias("texts")).where("texts > 1")
-    return containment(rows, pool, n, *key, small=False)
+    named = reduce(Column.__and__, (F.col(k).isNotNull() for k in key), F.lit(True))
+    mine = exploded(rows, n, "id", *key).withColumn("_texts", F.count("*").over(W.partitionBy(*key, "gram")))
+    return _shares(rows, mine.groupBy("id").agg(F.count("*").alias("grams"), F.count_if((F.col("_texts") > 1) & named).alias("shared")))
 
 
 def guarded(rows: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
