@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkmeter.llm import bpe, mixing, ngram_join, secret_scan, toxicity
 from inkmeter.llm.common import Table
-from inkmeter.session import ship
+from inkmeter.session import hand_back, ship
 
 
 def stage(function):
     """A stage (spark, docs, sf_dir) that has the package at its workers and bounded batches.
 
+    What the driver no longer uses of the stage before goes back to the system first.
+
     All stages take rows as they come: texts may be null, empty or long, rows
     repeated, ids null, the table empty, and columns beside those of documents
     stay and may have any name.
@@ -21,6 +23,7 @@ def stage(function):
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hand_back(spark)
         return function(ship(spark), docs, sf_dir)
 
     return run

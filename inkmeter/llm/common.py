@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import uuid
 import zlib
 
@@ -12,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut, give_back, shared_dir
 
 
 def let(value: Column, body) -> Column:
@@ -66,16 +64,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
 _HELD: dict = {}
 
 
-def give_back() -> None:
-    """Hand a worker's freed memory back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library than glibc
-        pass
-
-
 def held(key, make=None):
     """A Python worker's tables for ``key``, kept between tasks.
 
